@@ -237,6 +237,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     small = by_batch(rows.where(F.col("n_bytes") <= chunk), _Small(path), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     keyed = rows.where(F.col("n_bytes") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "text")
+    out_schema = pa_schema("doc_id bigint, n_bytes bigint, n_tokens bigint")
     cut_schema, map_schema = pa_schema("row bigint, doc_id bigint, n_bytes bigint, part bigint, text string"), pa_schema("row bigint, doc_id bigint, n_bytes bigint, part bigint, head string, n bigint, tail string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +256,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by row and part; neighbours compose."""
         count, open_row, state = counter(path), None, None
-        out = pa_schema("doc_id bigint, n_bytes bigint, n_tokens bigint")
-        done = lambda: pa.RecordBatch.from_pylist([{"doc_id": open_row[1], "n_bytes": open_row[2], "n_tokens": total(state, count)}], schema=out)
+        done = lambda: pa.RecordBatch.from_pylist([{"doc_id": open_row[1], "n_bytes": open_row[2], "n_tokens": total(state, count)}], schema=out_schema)
         for batch in batches:
             for row, doc, size, _, *now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if open_row and open_row[0] == row:
