@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, pa_schema
+from .common import by_batch, pa_schema, rows_where
 
 WIDTH = 10
 #: Bytes of benchmark text in a block; a block is collected and broadcast.
@@ -182,11 +182,14 @@ class _Search:
     def __init__(self, block, width: int):
         self.block, self.width = block, width
 
-    def make(self):
+    def queries(self) -> Queries:
         if self.block.id_ not in _compiled:
             _compiled.clear()
             _compiled[self.block.id_] = compiled(self.block.items.value, self.width)
-        queries = _compiled[self.block.id_]
+        return _compiled[self.block.id_]
+
+    def make(self):
+        queries = self.queries()
 
         def call(columns: list[pa.Array]) -> list:
             segment = Segment(columns[2].to_pylist(), queries.vocabulary)
@@ -199,6 +202,21 @@ class _Search:
         return call
 
 
+class _Clean(_Search):
+    """Verdict on texts: whether no window of the block occurs."""
+
+    def make(self):
+        queries = self.queries()
+
+        def call(texts: list[str | None]) -> list[bool]:
+            segment = Segment(texts, queries.vocabulary)
+            out = np.ones(len(texts), bool)
+            out[segment.document(segment.phrases(queries.windows, queries.lengths)[1])] = False
+            return out.tolist()
+
+        return call
+
+
 class Block(NamedTuple):
     id_: int
     items: object
@@ -253,6 +271,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents, with all their columns, in which no window occurs."""
+    for block in blocks(items):
+        docs = rows_where(docs, _Clean(block, width))
+    return docs
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """The index as a table: token, doc_id, positions (0-based, ascending), for keeping; a document's postings are made in one task, no row exceeds a document."""
     schema = pa_schema("token string, doc_id bigint, positions array<int>")

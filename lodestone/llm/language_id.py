@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, sampled
+from .common import by_batch, rows_where, sampled
 
 #: Families of languages by ISO 639-1 code. Fixed values.
 FAMILIES = {
@@ -137,3 +137,8 @@ class _Kernel:
 def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
     """doc_id, lang_pred, score: one row per document."""
     return by_batch(docs.select("doc_id", "text"), _Kernel(model), "doc_id bigint, lang_pred string, score double")
+
+
+def filtered(docs: DataFrame, model: Hierarchy, least: float) -> DataFrame:
+    """The documents, with all their columns, that have a language with a score of at least `least`."""
+    return rows_where(docs, lambda texts: [lang != "und" and score >= least for lang, score in map(model.predict, texts)])

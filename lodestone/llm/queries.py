@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, language_id, ngram_join, quality_classifier, quality_rules, token_count, toxicity
+from . import chat_format, decontamination, html_extract, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_scan, token_count, toxicity
 from .common import fold, table
 
 #: Place of the tokenizer files; a parameter of the operators.
@@ -47,6 +47,10 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).select("*", (F.col("n_tokens") > 512).alias("over_limit"))
 
@@ -67,5 +71,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_toxicity, op4_decontamination, op5_html_extract, op7_token_count, op8_quality_classifier, op9_language_id, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_toxicity, op4_decontamination, op5_html_extract, op6_sentencepiece, op7_token_count, op8_quality_classifier, op9_language_id, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
