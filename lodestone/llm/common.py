@@ -101,7 +101,7 @@ def slices(batch: pa.RecordBatch, at: int | None) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     column = batch.column(at)
-    sizes = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    sizes = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) * (8 if pa.types.is_list(column.type) else 1)
     part = (sizes[:-1] - sizes[0]) // SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):

@@ -14,6 +14,7 @@ doc_id, text and item_id are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -172,7 +173,7 @@ def joined(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-_compiled: dict[int, Queries] = {}
+_compiled: dict[str, Queries] = {}
 FOUND = "row bigint, doc_id bigint, n_words bigint, spans array<array<bigint>>, items array<string>"
 
 
@@ -218,7 +219,7 @@ class _Clean(_Search):
 
 
 class Block(NamedTuple):
-    id_: int
+    id_: str
     items: object
 
 
@@ -231,7 +232,7 @@ def blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[Block]:
     for k in range(n):
         own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])
-        yield Block(sent.id if hasattr(sent, "id") else id(sent), sent)
+        yield Block(uuid.uuid4().hex, sent)
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -17,6 +17,7 @@ are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -219,6 +220,8 @@ def encode_long(text: str, model: Pieces, chunk: int) -> list[int]:
 
 
 class _Encode:
+    """Kernel on (doc_id, text) of one chunk: ROUND. Texts go to the library a few at a time, which bounds its ids in memory."""
+
     def __init__(self, path: str):
         self.path = path
 
@@ -226,28 +229,39 @@ class _Encode:
         model = pieces(self.path)
 
         def call(columns: list[pa.Array]) -> list:
-            found = model.library.encode(columns[1].to_pylist(), num_threads=1)
-            return [columns[0], found]
+            tokens, hashes, texts = [], [], columns[1].to_pylist()
+            for at in range(0, len(texts), 256):
+                found = model.library.encode(texts[at : at + 256], num_threads=1)
+                hashes += [sha(model.decode(x)) for x in found]
+                tokens.append(pa.array(found, pa.list_(pa.int32())))
+            return [columns[0], pa.concat_arrays(tokens), hashes]
 
         return call
 
 
 class _Decode:
+    """Kernel on (doc_id, tokens): ROUND."""
+
     def __init__(self, path: str):
         self.path = path
 
     def make(self):
         model = pieces(self.path)
-        return lambda columns: [columns[0], columns[1], [model.decode(x) for x in columns[1].to_pylist()]]
+        return lambda columns: [columns[0], columns[1], [sha(model.decode(x.as_py())) for x in columns[1]]]
+
 
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
+
+ROUND = "doc_id bigint, tokens array<int>, text_sha256 string"
 CUT = "row bigint, doc_id bigint, part int, text string, low int, high int, first boolean, last boolean"
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, tokens (array of ids): one row per document. path: a SentencePiece BPE model, readable on every executor."""
+def round_trip(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, tokens (ids), text_sha256 (of the text decoded from them): one row per document. path: a SentencePiece BPE model, readable on every executor."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    small = by_batch(rows.where(F.length("text") < 2 * chunk), _Encode(path), "doc_id bigint, tokens array<int>")
+    small = by_batch(rows.where(F.length("text") < 2 * chunk), _Encode(path), ROUND)
     keyed = rows.where(F.length("text") >= 2 * chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     cut_schema, state = pa_schema(CUT), "struct<s:int,e:int>"
     matrix_schema = pa_schema(f"row bigint, part int, entries array<struct<a:{state},b:{state}>>")
@@ -281,15 +295,5 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     states = chunks.mapInArrow(matrices, f"row bigint, part int, entries array<struct<a:{state},b:{state}>>").groupBy("row").applyInArrow(lambda t: resolve(t), "row bigint, part int, a_s int, a_e int, b_s int, b_e int")
     traced = chunks.join(states, ["row", "part"]).mapInArrow(trace, "row bigint, doc_id bigint, part int, tokens array<int>")
     giant = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    return small.unionByName(giant.drop("row"))
-
-
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, tokens, text: one row per row of (doc_id, tokens)."""
-    return by_batch(encoded.select("doc_id", "tokens"), _Decode(path), "doc_id bigint, tokens array<int>, text string", None)
-
-
-def round_trip(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_tokens, tokens, text_sha256 (of the decoded text): one row per document."""
-    back = decode(encode(docs, path, chunk), path)
-    return back.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    back = by_batch(giant.select("doc_id", "tokens"), _Decode(path), ROUND, "tokens")
+    return small.unionByName(back).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens", "text_sha256")
