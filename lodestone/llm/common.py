@@ -83,14 +83,15 @@ def by_batch(df: DataFrame, kernel: Callable[[list[pa.Array]], list], schema: st
 def rows_where(df: DataFrame, verdict: Callable[[list[str | None]], list[bool]], text: str = "text") -> DataFrame:
     """Rows of df, with all their columns and no shuffle, whose text passes verdict (a kernel, or a factory with `make`)."""
 
-    @F.arrow_udf("boolean")
-    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = verdict.make() if hasattr(verdict, "make") else verdict
         for batch in batches:
-            parts = [call(x.column(0).to_pylist()) for x in slices(pa.RecordBatch.from_arrays([batch], ["text"]), 0)]
-            yield pa.array([bool(x) for part in parts for x in part], "bool")
+            for part in slices(batch, at):
+                yield part.filter(pa.array([bool(x) for x in call(part.column(at).to_pylist())], "bool"))
 
-    return df.where(passes(F.col(text).cast("string")))
+    return df.mapInArrow(run, df.schema)
 
 
 def slices(batch: pa.RecordBatch, at: int | None) -> Iterator[pa.RecordBatch]:
