@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 #: White space of the word rules: space and U+0009 to U+000D. Fixed value.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows of text handed to one kernel call; bounds the memory of a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+BATCH_ROWS = 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +63,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about SLICE_BYTES and BATCH_ROWS rows in this session: a batch stands in the JVM's and in Python's memory at once."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", SLICE_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key, None)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def by_batch(df: DataFrame, kernel: Callable[[list[pa.Array]], list], schema: str, text: str | None = "text") -> DataFrame:
     """mapInArrow with kernel(columns) -> columns, over slices of a batch that hold about SLICE_BYTES of text.
 
     kernel may be a factory: a callable with attribute `make` is called once a task for the real kernel.
     """
+    bounded_batches(df.sparkSession)
     types = pa_schema(schema)
     at = df.columns.index(text) if text else None
 
@@ -76,6 +86,9 @@ def by_batch(df: DataFrame, kernel: Callable[[list[pa.Array]], list], schema: st
             for part in slices(batch, at):
                 out = call(part.columns)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, types, strict=True)], schema=types)
+        if hasattr(kernel, "release"):
+            kernel.release()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -83,6 +96,7 @@ def by_batch(df: DataFrame, kernel: Callable[[list[pa.Array]], list], schema: st
 def rows_where(df: DataFrame, verdict: Callable[[list[str | None]], list[bool]], text: str = "text") -> DataFrame:
     """Rows of df, with all their columns and no shuffle, whose text passes verdict (a kernel, or a factory with `make`)."""
 
+    bounded_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
