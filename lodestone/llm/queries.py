@@ -72,4 +72,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_toxicity, op4_decontamination, op5_html_extract, op6_sentencepiece, op7_token_count, op8_quality_classifier, op9_language_id, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {}
+
+def _sql_list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_STOP = sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws})
+_RULES = " AND ".join(f"coalesce({r.numerator}::DOUBLE / nullif({r.denominator}, 0) BETWEEN {r.low} AND {r.high}, true)" for r in quality_rules.RULES)
+_ESC = r"regexp_replace(t, '(\\|###|</turn>)', '\\\1', 'g')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY 1),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '[^!]', '', 'g')) AS n_shouts, len(list_filter(w, lambda x: lower(x) IN ({_sql_list(_STOP)}))) AS n_stop_words FROM w LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_RULES} AS kept FROM b""",
+    "op2_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256, coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(role) + length({_ESC}) + 14)::BIGINT AS formatted_chars, 0::BIGINT AS n_rewrites FROM c GROUP BY 1""",
+}
