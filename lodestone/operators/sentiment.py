@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-#: Tokens of a text that a model reads, and the probability over which a text is positive.
-MOST_TOKENS, THRESHOLD = 510, 0.9
+#: Probability over which a text is positive.
+THRESHOLD = 0.9
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("t", F.slice(tokens(F.col("text")), 1, MOST_TOKENS))
+    return rows.withColumn("t", tokens(F.col("text")))
 
 
 def split(rows: DataFrame, share: float = 0.9, seed: int = 42) -> list[DataFrame]:

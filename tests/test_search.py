@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries
 from lodestone.functions import text
-from lodestone.operators import index
+from lodestone.operators import index, sentiment
 from lodestone.plans import boolean
 from lodestone.streaming import ingest
 
@@ -81,3 +81,10 @@ def test_against_sql(spark, name):
     want = con.execute(f"select {', '.join(names)} from ({queries.ORACLE_SQL[name]})").fetchall()
     key = lambda r: tuple(round(x, 4) if isinstance(x, float) else x for x in r)
     assert sorted(map(key, found.select(*names).collect()), key=repr) == sorted(map(key, want), key=repr)
+
+
+def test_sentiment_reads_the_whole_text(spark):
+    rows = [("plain " * 600 + word, y) for word, y in (("good", 1), ("bad", 0)) for _ in range(10)]
+    docs = spark.createDataFrame(rows, "text string, sentiment int")
+    found = sentiment.predict(sentiment.train(docs), docs, 0.5).collect()
+    assert [r.label for r in found] == [r.sentiment for r in found]
