@@ -6,6 +6,8 @@ support vector machines between its languages, by votes and, at equal votes, by
 
 A language without a family in FAMILIES is a family of its own. A text that is null or has no letter is `und` with
 score 0. score is the logistic of the smaller of the winning margins. Without training rows every text is `und`.
+Text in a language that wasn't learnt gets the nearest one's name, with a small margin; `least` of the model is a score
+that tells it from the languages learnt: LEAST_SHARE of the margin that nearly all training rows pass.
 Rows are independent; columns besides doc_id, text and (in training) lang are not read.
 """
 
@@ -35,6 +37,8 @@ FAMILIES = {
 WIDTH = 2048
 #: Training rows that a fit uses at most (about).
 BOUND = 3_000
+#: Share of a training margin that text of a learnt language has at least, and the quantile of training margins it is taken of.
+LEAST_SHARE, LEAST_QUANTILE = 0.2, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -66,11 +70,16 @@ class Hierarchy(NamedTuple):
     languages: dict[str, list[str]]
     pairs: dict[str, list[tuple[int, int]]]
     pair_weights: dict[str, np.ndarray]
+    least: float = 0.5
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.families or not text or not _LETTER.search(text):
             return "und", 0.0
-        x = np.append(features(text), np.float32(1))
+        language, margin = self.decide(np.append(features(text), np.float32(1)))
+        return language, logistic(margin)
+
+    def decide(self, x: np.ndarray) -> tuple[str, float]:
+        """(language, the smaller of the winning margins) of features with a last 1."""
         margin, family = np.inf, self.families[0]
         if len(self.families) > 1:
             margins = self.family_weights @ x
@@ -78,7 +87,7 @@ class Hierarchy(NamedTuple):
             family, margin = self.families[best], float(margins[best] - np.partition(margins, -2)[-2]) / 2
         languages = self.languages[family]
         if len(languages) == 1:
-            return languages[0], logistic(margin)
+            return languages[0], margin
         votes, sums = np.zeros(len(languages)), np.zeros(len(languages))
         m = self.pair_weights[family] @ x
         for (a, b), v in zip(self.pairs[family], m, strict=True):
@@ -87,7 +96,7 @@ class Hierarchy(NamedTuple):
             sums[b] -= v
         best = max(range(len(languages)), key=lambda k: (votes[k], sums[k]))
         own = [abs(float(v)) * (1 if (v >= 0) == (a == best) else -1) for (a, b), v in zip(self.pairs[family], m, strict=True) if best in (a, b)]
-        return languages[best], logistic(min(margin, *own))
+        return languages[best], min(margin, *own)
 
 
 def logistic(x: float) -> float:
@@ -111,7 +120,17 @@ def fit(texts: np.ndarray, langs: list[str]) -> Hierarchy:
             at = (langs == v[a]) | (langs == v[b])
             rows.append(linear_svm(texts[at], np.where(langs[at] == v[a], 1, -1)))
         weights[f] = np.array(rows, np.float32)
-    return Hierarchy(families, whole.astype(np.float32), languages, pairs, weights)
+    model = Hierarchy(families, whole.astype(np.float32), languages, pairs, weights)
+    return model._replace(least=least_score(model, texts, langs))
+
+
+def least_score(model: Hierarchy, texts: np.ndarray, langs: np.ndarray) -> float:
+    """The score under which text is in none of the languages, from the margins of training rows that get their own language; 0.5 where one language or no row is known, as there is nothing to tell it from."""
+    if len(langs) == 0 or sum(map(len, model.languages.values())) < 2:
+        return 0.5
+    found = [model.decide(np.append(x, np.float32(1))) for x in texts]
+    own = [margin for (lang, margin), known in zip(found, langs, strict=True) if lang == known]
+    return logistic(LEAST_SHARE * max(0.0, float(np.quantile(own, LEAST_QUANTILE)))) if own else 0.5
 
 
 def train(docs: DataFrame, keep: Column, bound: int = BOUND) -> Hierarchy:
@@ -144,5 +163,6 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
 
 
 def filtered(docs: DataFrame, model: Hierarchy, least: float) -> DataFrame:
-    """The documents, with all their columns, that have a language with a score of at least `least`."""
+    """The documents, with all their columns, that have a language with a score of at least `least` and the model's own least score."""
+    least = max(least, model.least)
     return rows_where(docs, lambda texts: [lang != "und" and score >= least for lang, score in map(model.predict, texts)])

@@ -108,3 +108,17 @@ def test_run_against_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "tokens", "text_sha256").collect()
     assert sorted(((r.doc_id, list(r.tokens), r.text_sha256) for r in out), key=repr) == want
     assert counts[0] > counts[1] >= counts[2] > counts[3] > counts[4] > 0  # the decisions of the fixture take effect
+
+
+def test_language_stage_drops_unlearnt_languages(spark):
+    strange = [
+        "Вчера вечером в городе состоялась большая встреча жителей, на которой обсуждали строительство новой школы",
+        "Wczoraj wieczorem w mieście odbyło się duże spotkanie mieszkańców, na którym omawiano budowę nowej szkoły",
+        "Eilen illalla kaupungissa pidettiin suuri asukkaiden kokous, jossa keskusteltiin uuden koulun rakentamisesta",
+        "昨日の夜、町で新しい学校の建設について大きな会議が開かれました",
+        "#### $$ 1234 !!! ??? x %%% @@@ 000 ---- ==== 77 88 99 ++",
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(-k, t, None) for k, t in enumerate(strange, 1)], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(planted), "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect()}
