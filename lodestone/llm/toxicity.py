@@ -51,9 +51,8 @@ WEIGHTS = {"insult": 1.0, "threat": 0.8, "aimed": 0.5, "negated": -0.4, "reporte
 #: Words over which a target, a negation or an intention stays pending.
 REACH = {"target": 6, "negation": 3, "will": 3}
 
-_CLAUSE = re.compile(r"[.!?;:\n\r]+")
-_SPACED = bytes(b if b >= 128 or chr(b).isalpha() or b == 39 else 32 for b in range(256))
-_QUOTES = [x.encode() for x in "\u00a0\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"]
+_MARKS = ".!?;:\n\r"
+_CLAUSE = re.compile(f"[{_MARKS}]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
@@ -105,20 +104,18 @@ class Grammar:
         self.strength = {w: 1.0 for w in SEED["insult"]} | {w: s for w, s in learnt.items() if not w.endswith("*")}
         self.stems = {w[:-1]: s for w, s in learnt.items() if w.endswith("*")}
         self.classes |= {w: CLASSES.index("insult") for w in self.strength}
-        starts = [w for w, k in self.classes.items() if CLASSES[k] in ("insult", "threat")]
-        self.trigger = re.compile(r"\b(?:" + "|".join([*(re.escape(w) + r"\b" for w in starts), *(re.escape(w) + r"(?=\w)" for w in self.stems)]) + ")")
-        self.words = {w.encode() for w in starts}
-        self.by_length: dict[int, set[bytes]] = {}
-        for w in self.stems:
-            self.by_length.setdefault(len(w.encode()), set()).add(w.encode())
-
-    def has_trigger(self, low: str) -> bool:
-        """Whether a word of the text may start an insult or threat: set look-ups of words and of their first bytes."""
-        raw = low.encode("utf-8", "surrogatepass")
-        for quote in _QUOTES:
-            raw = raw.replace(quote, b" ")
-        words = set(raw.translate(_SPACED).split())
-        return not words.isdisjoint(self.words) or any(not {w[:n] for w in words}.isdisjoint(stems) for n, stems in self.by_length.items())
+        self.starts = {w for w, k in self.classes.items() if CLASSES[k] in ("insult", "threat")}
+        self.known = frozenset(self.stems)
+
+    def triggers(self, low: str) -> set[str]:
+        """Words of the text, as clause() reads them, that may start an insult or threat: set look-ups of words and of their first characters."""
+        words = set(_WORD.findall(low))
+        found = words & self.starts
+        if self.known:
+            for n in STEMS:
+                if not self.known.isdisjoint({w[:n] for w in words}):
+                    found |= {w for w in words if len(w) > n and w[:n] in self.known}
+        return found
 
     def class_of(self, word: str) -> tuple[int, float]:
         kind = self.classes.get(word)
@@ -133,15 +130,14 @@ class Grammar:
         out = [0.0] * (len(KINDS) + 2)
         if not text:
             return out
-        low, done, matched = text.lower(), -1, 0
-        if not self.has_trigger(low):
+        low, done, matched = text.lower(), 0, 0
+        found = self.triggers(low)
+        if not found:
             return out
-        for m in self.trigger.finditer(low):
-            if m.start() < done:
+        for m in _WORD.finditer(low):
+            if m.start() < done or m[0] not in found:
                 continue
-            start = next((x.end() for x in _CLAUSE.finditer(low, max(0, m.start() - 300), m.start())), max(0, m.start() - 300))
-            for x in _CLAUSE.finditer(low, start, m.start()):
-                start = x.end()
+            start = max(done, *(low.rfind(mark, done, m.start()) + 1 for mark in _MARKS))
             stop = _CLAUSE.search(low, m.end())
             done = stop.start() if stop else len(low)
             score, kinds = self.clause(low[start:done])

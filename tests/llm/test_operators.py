@@ -106,6 +106,17 @@ def test_classifiers_edges():
     assert grammar.evidence("some loweixen here")[0] > 0
 
 
+@pytest.mark.parametrize("form", ["you 'idiot'", "you idiots'", "you idiot\u2022", "you idiot\uff0e", "you \U0001f600idiot\U0001f600", "you _idiot_", "you 'loweixen'", "you loweixen\u2026 \u2022loweixen\u2022"])
+def test_toxicity_reads_words_beside_any_mark(form):
+    assert toxicity.Grammar({"lowei*": 1.0}).evidence(form)[1] > 0
+
+
+def test_toxicity_reads_a_clause_from_its_start():
+    grammar = toxicity.Grammar({})
+    assert grammar.evidence("Fine. They said " + "word " * 100 + "idiot")[3] > 0
+    assert grammar.evidence("They said so. " + "word " * 100 + "idiot")[3] == 0
+
+
 def _languages():
     import numpy as np
 
