@@ -8,8 +8,10 @@ place of the turn's text locates the text inside the piece, which gives the loss
 Turns are ordered by turn, then role, then text (nulls first); repeated rows are turns of their own; a null text or
 role is empty; rows with a null conv_id form one conversation. Columns besides conv_id, turn, role and text are not read.
 
-A conversation stays in one task, as its digests run over its turns in order, but it is streamed: a task holds
-`window` turns, never a conversation.
+A conversation stays in one task, as its digests run over its turns in order, but it is streamed. Of a template with a
+true attribute `append_only` a task holds FULL_TURNS turns at most; that declares that a turn adds a piece that depends
+on the last WINDOW turns only, and withdraws nothing. Of any other template every prefix is rendered in full, so a task
+holds the conversation, in time that grows with the square of its turns.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ Template = Callable[[list[Turn]], str]
 
 #: Stands in for a text when a turn's text is located; drawn longer while it occurs in the conversation.
 PROBE = "\ue000\ue001"
-#: Up to so many turns every prefix is rendered in full; beyond, over a window, once windows have agreed with prefixes.
+#: Up to so many turns every prefix is rendered in full; beyond, for a template declared append-only, over a window, once windows have agreed with prefixes.
 FULL_TURNS = 64
 WINDOW = 8
 
@@ -51,14 +53,17 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join("### {}: {}</turn>\n".format(escape(role).replace(":", "\\:"), escape(text)) for role, text in turns)
 
 
+marked_turns.append_only = True
+
+
 def pieces(turns: Iterator[Turn], template: Template, window: int = WINDOW, full_turns: int = FULL_TURNS) -> Iterator[tuple[int, str, int, int, int]]:
     """For each turn: (chars of earlier output withdrawn, text added, start and end of the turn's text in it, chars of output so far).
 
-    Up to full_turns turns, prefixes start at the first turn. Beyond, they start `window` turns back, if windows gave
-    what full prefixes did for all earlier turns; else prefixes stay full.
+    Prefixes start at the first turn. Beyond full_turns turns, those of a template declared append_only start `window`
+    turns back, if windows gave what full prefixes did for all earlier turns.
     """
     held: list[Turn] = []
-    past, total, local = "", 0, True
+    past, total, local = "", 0, bool(getattr(template, "append_only", False))
     for k, turn in enumerate(turns):
         held.append(turn)
         if local and k >= full_turns:

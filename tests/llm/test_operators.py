@@ -39,6 +39,22 @@ def test_chat_round_trip():
     assert any(p[0] for p in chat_format.pieces(iter([("u", "a"), ("u", "b"), ("u", "c")]), rewriting))
 
 
+@pytest.mark.parametrize(
+    "template",
+    [
+        lambda turns: "|".join(t for _, t in turns[-100:]),
+        lambda turns: "".join(f"{k}: {t}\n" for k, (_, t) in enumerate(turns)),
+        lambda turns: f"{len(turns) // 70}" + "".join(t for _, t in turns),
+    ],
+)
+def test_chat_pieces_of_any_template(template):
+    turns = [("u", f"said {k % 7}") for k in range(130)]
+    out = ""
+    for k, (cut, piece, start, end, total) in enumerate(chat_format.pieces(iter(turns), template), 1):
+        out = out[: len(out) - cut] + piece
+        assert out == template(turns[:k]) and total == len(out)
+
+
 def test_html():
     page = "<html><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class=ad>Buy</div><article><h1>T&amp;t</h1><p>One <b>t</b>wo<br>three<p>Four.</article><footer>&copy;</footer>"
     assert html_extract.main_text(page)[0] == "T&t One two three Four."
