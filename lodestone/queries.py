@@ -212,6 +212,13 @@ def trie_words(spark, sf):
     return index.trie_words(index.with_prefix(rows, "ing").select("word", F.col("doc_id").alias("index_id"), (F.col("doc_id") * 1000000 + F.col("pos")).alias("seq")))
 
 
+@query(TD + "SELECT term AS word, max_by(doc_id, doc_id * 1000000 + pos) AS index_id, count(*) AS word_frequency FROM tok GROUP BY 1")
+def trie_all_words(spark, sf):
+    """The trie's whole vocabulary; trie_words looks up one prefix."""
+    rows = index.tokenised(docs(spark, sf)).select("doc_id", F.posexplode("t").alias("pos", "word"))
+    return index.trie_words(rows.select("word", F.col("doc_id").alias("index_id"), (F.col("doc_id") * 1000000 + F.col("pos")).alias("seq")))
+
+
 @query(r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS plain FROM documents")
 def unicode_normalise(spark, sf):
     return docs(spark, sf).select("doc_id", T.unicode_normalise("text").alias("plain"))

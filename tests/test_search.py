@@ -88,3 +88,12 @@ def test_sentiment_reads_the_whole_text(spark):
     docs = spark.createDataFrame(rows, "text string, sentiment int")
     found = sentiment.predict(sentiment.train(docs), docs, 0.5).collect()
     assert [r.label for r in found] == [r.sentiment for r in found]
+
+
+def test_trie_holds_every_word(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(f"select word, index_id, word_frequency from ({queries.ORACLE_SQL['trie_all_words']})").fetchall()
+    found = queries.QUERIES["trie_all_words"](spark, SF).select("word", "index_id", "word_frequency").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert sum(r.word_frequency for r in found) == queries.QUERIES["doc_stats"](spark, SF).agg(F.sum("dl")).first()[0]
