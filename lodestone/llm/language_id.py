@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, rows_where, sampled
+from .common import by_batch, rows_where
 
 #: Families of languages by ISO 639-1 code. Fixed values.
 FAMILIES = {
@@ -35,8 +35,8 @@ FAMILIES = {
     "indo-aryan": "hi bn ur pa gu mr ne".split(),
 }
 WIDTH = 2048
-#: Training rows that a fit uses at most (about).
-BOUND = 3_000
+#: Training rows that a fit uses at most (about), and rows of a language that stay whatever the number of languages.
+BOUND, LEAST_ROWS = 6_000, 50
 #: Share of a training margin that text of a learnt language has at least, and the quantile of training margins it is taken of.
 LEAST_SHARE, LEAST_QUANTILE = 0.2, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
@@ -50,16 +50,20 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / len(b), dtype=np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, c: float = 20.0, seed: int = 11) -> np.ndarray:
-    """Weights (the last is the bias) of an L2 support vector machine with hinge loss, by dual coordinate descent. y: -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    norms, alpha, w, draw = np.einsum("ij,ij->i", x, x), np.zeros(len(x)), np.zeros(x.shape[1], np.float32), np.random.default_rng(seed)
+def linear_svm(x: np.ndarray, y: np.ndarray, at: np.ndarray | None = None, rounds: int = 12, c: float = 20.0, seed: int = 11) -> np.ndarray:
+    """Weights (the last is the bias) of an L2 support vector machine with hinge loss, by dual coordinate descent. y: -1 or 1, of the rows `at` of x, or all. Rows are widened to float32 one at a time, so x is never copied."""
+    at = np.arange(len(x)) if at is None else at
+    alpha, w, draw = np.zeros(len(at)), np.zeros(x.shape[1] + 1, np.float32), np.random.default_rng(seed)
+    norms = [float(row @ row) + 1 for row in (x[k].astype(np.float32) for k in at)]
     share = np.where(y > 0, (y < 0).sum(), (y > 0).sum()) / len(y) * 2 * c  # classes weigh the same
     for _ in range(rounds):
-        for i in draw.permutation(len(x)):
-            new = min(max(alpha[i] + (1 - y[i] * (x[i] @ w)) / norms[i], 0.0), share[i])
+        for i in draw.permutation(len(at)):
+            row = x[at[i]].astype(np.float32)
+            new = min(max(alpha[i] + (1 - y[i] * (row @ w[:-1] + w[-1])) / norms[i], 0.0), share[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                by = np.float32((new - alpha[i]) * y[i])
+                w[:-1] += by * row
+                w[-1] += by
                 alpha[i] = new
     return w
 
@@ -117,8 +121,8 @@ def fit(texts: np.ndarray, langs: list[str]) -> Hierarchy:
     for f, v in languages.items():
         rows = []
         for a, b in pairs[f]:
-            at = (langs == v[a]) | (langs == v[b])
-            rows.append(linear_svm(texts[at], np.where(langs[at] == v[a], 1, -1)))
+            at = np.flatnonzero((langs == v[a]) | (langs == v[b]))
+            rows.append(linear_svm(texts, np.where(langs[at] == v[a], 1, -1), at))
         weights[f] = np.array(rows, np.float32)
     model = Hierarchy(families, whole.astype(np.float32), languages, pairs, weights)
     return model._replace(least=least_score(model, texts, langs))
@@ -133,15 +137,30 @@ def least_score(model: Hierarchy, texts: np.ndarray, langs: np.ndarray) -> float
     return logistic(LEAST_SHARE * max(0.0, float(np.quantile(own, LEAST_QUANTILE)))) if own else 0.5
 
 
+def quotas(sizes: dict[str, int], bound: int) -> dict[str, int]:
+    """Rows to take of each language: all of the small ones, and what they leave of bound in equal parts of the others; LEAST_ROWS at least, if there are so many."""
+    out: dict[str, int] = {}
+    left = bound
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        own = min(n, left // (len(sizes) - k))
+        left -= own
+        out[lang] = min(n, max(own, LEAST_ROWS))
+    return out
+
+
 def train(docs: DataFrame, keep: Column, bound: int = BOUND) -> Hierarchy:
-    """Fits on about bound documents with a language that satisfy keep; only their features reach the driver."""
+    """Fits on about bound documents with a language that satisfy keep, dealt over the languages; only their features reach the driver."""
 
     def kernel(columns: list[pa.Array]) -> list:
         return [columns[1], [features(t).astype(np.float16).tobytes() for t in columns[2].to_pylist()]]
 
     known = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "lang", "text")
-    rows = by_batch(sampled(known, bound, "doc_id"), kernel, "lang string, x binary").orderBy("lang", "x").collect()
-    langs, x = [r.lang for r in rows], np.empty((len(rows), WIDTH), np.float32)
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if sum(sizes.values()) > bound:
+        taken = docs.sparkSession.createDataFrame([(lang, int(n / sizes[lang] * (1 << 30))) for lang, n in quotas(sizes, bound).items()], "lang string, most bigint")
+        known = known.join(F.broadcast(taken), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.col("most")).select("doc_id", "lang", "text")
+    rows = by_batch(known, kernel, "lang string, x binary").orderBy("lang", "x").collect()
+    langs, x = [r.lang for r in rows], np.empty((len(rows), WIDTH), np.float16)
     for k, r in enumerate(rows):
         x[k] = np.frombuffer(r.x, np.float16)
     del rows

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format, decontamination, html_extract, language_id, ngram_join, quality_classifier, quality_rules, toxicity
 
@@ -133,6 +134,12 @@ def test_toxicity_reads_a_clause_from_its_start():
     assert grammar.evidence("They said so. " + "word " * 100 + "idiot")[3] == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    rows = [(k, "the water and the house" if k % 2 else "der und die mit auf", "en" if k % 2 else "de") for k in range(2000)] + [(k, "le la des les une et", "fr") for k in range(2000, 2004)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), 100)
+    assert sorted(x for own in model.languages.values() for x in own) == ["de", "en", "fr"]
+
+
 def _languages():
     import numpy as np
 
