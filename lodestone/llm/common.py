@@ -22,21 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode, as in tests; a cluster has no folder to fall back on."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_swept: set[str] = set()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder. What an application leaves there goes when its driver ends."""
+    app = spark.sparkContext.applicationId
+    top = f"{shared_dir(spark)}/lodestone/{app}"
+    if top not in _swept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _swept.add(top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, **options) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: the lineage ends there and survives lost executors. options: of the writer."""
+    path = scratch(df.sparkSession)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fold(column: str, mod: int) -> Column:

@@ -13,12 +13,12 @@ Rows are independent; columns besides doc_id, text and (in training) lang are no
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ WIDTH = 2048
 BOUND, LEAST_ROWS = 6_000, 50
 #: Share of a training margin that text of a learnt language has at least, and the quantile of training margins it is taken of.
 LEAST_SHARE, LEAST_QUANTILE = 0.2, 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str) -> np.ndarray:
