@@ -15,6 +15,8 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows of text handed to one kernel call; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 4000
+#: Rows of 16 to 24 bytes that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,11 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fit_to_send(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of a few numbers marked for broadcast if they are few enough; more are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of an id as text, modulo mod: the rule that fixes held-out rows. A null id has no fold (null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
@@ -125,8 +132,8 @@ def rows_where(df: DataFrame, verdict: Callable[[list[str | None]], list[bool]],
     return df.mapInArrow(run, df.schema)
 
 
-def slices(batch: pa.RecordBatch, at: int | None) -> Iterator[pa.RecordBatch]:
-    if at is None or batch.nbytes <= SLICE_BYTES:
+def slices(batch: pa.RecordBatch, at: int | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    if at is None or batch.nbytes <= most:
         if batch.num_rows:
             yield batch
         return
@@ -134,7 +141,7 @@ def slices(batch: pa.RecordBatch, at: int | None) -> Iterator[pa.RecordBatch]:
 
     column = batch.column(at)
     sizes = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) * (8 if pa.types.is_list(column.type) else 1)
-    part = (sizes[:-1] - sizes[0]) // SLICE_BYTES
+    part = (sizes[:-1] - sizes[0]) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)

@@ -159,7 +159,7 @@ def train(docs: DataFrame, keep: Column, bound: int = BOUND) -> Hierarchy:
     if sum(sizes.values()) > bound:
         taken = docs.sparkSession.createDataFrame([(lang, int(n / sizes[lang] * (1 << 30))) for lang, n in quotas(sizes, bound).items()], "lang string, most bigint")
         known = known.join(F.broadcast(taken), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.col("most")).select("doc_id", "lang", "text")
-    rows = by_batch(known, kernel, "lang string, x binary").orderBy("lang", "x").collect()
+    rows = sorted(by_batch(known, kernel, "lang string, x binary").collect(), key=lambda r: (r.lang, r.x))
     langs, x = [r.lang for r in rows], np.empty((len(rows), WIDTH), np.float16)
     for k, r in enumerate(rows):
         x[k] = np.frombuffer(r.x, np.float16)

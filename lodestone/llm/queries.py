@@ -40,7 +40,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,8 @@ def _sql_list(words) -> str:
 
 _STOP = sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws})
 _RULES = " AND ".join(f"coalesce({r.numerator}::DOUBLE / nullif({r.denominator}, 0) BETWEEN {r.low} AND {r.high}, true)" for r in quality_rules.RULES)
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _ESC = r"regexp_replace(t, '(\\|###|</turn>)', '\\\1', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +93,18 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_RULES} AS kept FROM b""",
     "op2_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256, coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(role) + length({_ESC}) + 14)::BIGINT AS formatted_chars, 0::BIGINT AS n_rewrites FROM c GROUP BY 1""",
+    # A chain follows the words of a window through a document, in order and in at most its length and room more.
+    "op4_decontamination": rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS t FROM documents),
+tok AS (SELECT r, unnest(t) AS w, unnest(range(len(t))) AS p FROM d),
+i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS t FROM benchmark),
+x AS (SELECT item, unnest(CASE WHEN len(t) <= 10 THEN [t] ELSE list_transform(range(len(t) - 9), lambda k: t[k + 1:k + 10]) END) AS words FROM i WHERE len(t) > 0),
+win AS (SELECT row_number() OVER () AS id, words, len(words) AS n, 2 * len(words) // 10 AS room FROM (SELECT DISTINCT words FROM x)),
+held AS (SELECT DISTINCT id, item FROM x JOIN win USING (words)),
+chain AS (SELECT id, r, p AS first, p AS last, 1 AS k FROM win JOIN tok ON w = words[1]
+ UNION ALL SELECT c.id, c.r, c.first, tok.p, c.k + 1 FROM (SELECT c.*, win.words[c.k + 1] AS wanted, win.room, unnest(range(c.last + 1, c.first + c.k + win.room + 1)) AS q FROM chain c JOIN win USING (id) WHERE c.k < win.n) c JOIN tok ON tok.r = c.r AND tok.w = c.wanted AND tok.p = c.q),
+ends AS (SELECT DISTINCT id, r, first, last, n FROM chain JOIN win USING (id) WHERE k = n),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(first, last + 1)) AS q FROM ends WHERE last - first + 1 = n) GROUP BY 1),
+own AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM ends JOIN held USING (id) WHERE last - first + 1 = n) GROUP BY 1),
+near AS (SELECT r, count(DISTINCT item) AS n_near_items FROM ends JOIN held USING (id) GROUP BY 1)
+SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r) LEFT JOIN near USING (r)""",
 }

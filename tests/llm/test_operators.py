@@ -62,31 +62,109 @@ def test_html():
     assert html_extract.main_text("")[0] == ""
 
 
-def test_decontamination_against_brute_force(spark):
+LONG, MORE = " ".join(["word"] * 40), " ".join(["more"] * 40)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div><p>Home</div><nav>x</nav><div><h1>T</h1><p>{LONG}<p>So.</div><form>f</form><div><p>Tail</div>", f"T {LONG} So."),  # no article: runs without a surge go
+        (f"<div><p>{LONG}</p><ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul><p>{MORE}</div>", f"{LONG} a b c d {MORE}"),
+        (f"<div><p>{LONG}</div><aside>x</aside><div><p>{MORE}</div>", f"{LONG} {MORE}"),  # two runs
+        (f"<article><p>{LONG}</p><div class=ad>Buy</div><p>So.</p></article><div class='comment-list'><p>{MORE}</div>", f"{LONG} So."),
+        (f"<article><div class='share-of-market'><p>{LONG}</div></article>", LONG),
+        (f"<ul><li><a>{LONG}</a></ul><div hidden>{LONG}</div><div id=cookie-notice>{LONG}</div><div><p>{MORE}</div>", MORE),
+        ("<article><p>To.</article>", "To."),
+    ],
+)
+def test_html_by_distribution(page, want):
+    assert html_extract.main_text(page)[0] == want
+
+
+def test_html_distribution_against_brute_force():
+    draw = random.Random(8)
+    for _ in range(500):
+        lines = [html_extract.Line(draw.choice(["t", "t", "t", None]), 0) for _ in range(draw.randrange(0, 14))]
+        lines = [x if x.text is None else x._replace(weight=draw.choice([0, 0, 5, 40, 90])) for x in lines]
+        w = [x.weight for x in lines]
+        sums = [sum(w[i : i + 3]) for i in range(len(w))]
+        least = 80 if max(sums, default=0) >= 80 else max(sums, default=0) / 2
+        held = [i for i in range(len(w)) if w[i]]
+        runs = []
+        for i in held:  # weights with no window of zeros between them
+            runs = [*runs[:-1], [*runs[-1], i]] if runs and i - runs[-1][-1] <= 3 else [*runs, [i]]
+        runs = [r for r in runs if max(sums[i] for i in range(r[0], r[-1] + 1)) >= least]
+        want = {i for r in runs for i in range(r[0], r[-1] + 1)}
+        for a, b in zip(runs, runs[1:], strict=False):
+            if all(lines[i].text for i in range(a[-1] + 1, b[0])):
+                want |= set(range(a[-1], b[0]))
+        assert {i for a, b in html_extract.kept_lines(lines) for i in range(a, b)} == want
+
+
+def test_html_needs_the_lengths(monkeypatch):
+    page = f"<article><h1>T</h1><p>{LONG}</article>"
+    lines = html_extract.lines_of(page)
+    monkeypatch.setattr(html_extract, "lines_of", lambda _: [x._replace(weight=0) for x in lines])
+    assert html_extract.main_text(page)[0] == ""
+
+
+def in_order(words, window, room):
+    """(first, last) of every place where the window's words stand in order within len(window) + room words."""
+    out = set()
+    for p, w in enumerate(words):
+        if w == window[0]:
+            ends = {p}
+            for x in window[1:]:
+                ends = {q for e in ends for q in range(e + 1, min(p + len(window) + room, len(words))) if words[q] == x}
+            out |= {(p, e) for e in ends}
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 24, 20])
+def test_decontamination_against_brute_force(spark, block):
     draw = random.Random(4)
-    texts = [" ".join(draw.choice(["A", "b", "c", "é"]) for _ in range(draw.randrange(0, 40))) for _ in range(80)]
-    items = [(k, " ".join(draw.choice(["a", "b", "c", "é"]) for _ in range(n))) for k, n in enumerate([0, 1, 3, 4, 5, 8])] + [(None, None)]
+    texts = [None, ""] + [" ".join(draw.choice(["A", "b", "c", "é", "d", "f"]) for _ in range(draw.randrange(0, 40))) for _ in range(80)]
+    items = [(k, " ".join(draw.choice(["a", "b", "c", "é", "d"]) for _ in range(n))) for k, n in enumerate([0, 1, 3, 4, 5, 8])] + [(None, None), (None, "F d")]
     docs, bench = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     want = {}
     for k, t in enumerate(texts):
-        w, hit, own = t.lower().split(), set(), set()
+        w, hit, own, close, near = (t or "").lower().split(), set(), set(), set(), set()
         for i, x in items:
-            g = (x or "").split()
+            g = (x or "").lower().split()
             for at in range(len(g) - 3 if len(g) > 4 else 1 if g else 0):
                 window = g[at : at + 4]
+                name = "null" if i is None else str(i)
                 for p in range(len(w) - len(window) + 1):
                     if w[p : p + len(window)] == window:
                         hit |= set(range(p, p + len(window)))
-                        own.add(str(i))
-        want[k] = (len(w), len(hit), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest())
-    for block in (1 << 24, 20):
-        found = decontamination.find(docs, bench, 4, block).collect()
-        assert {r.doc_id: (r.n_words, sum(b - a for a, b in r.spans), hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in found} == want
-
-
-def test_proximity():
-    segment = decontamination.Segment(["a x b y c", "c b a"], {b"a": 0, b"b": 1, b"c": 2})
-    assert segment.proximity([0, 1, 2], 3) == [(5, 7)] and segment.proximity([0, 1, 2], 5) == [(0, 4), (5, 7)]
+                        own.add(name)
+                found = in_order(w, window, 2 * len(window) // 4)
+                near |= {name} if found else set()
+                close |= {q for a, b in found if not any((c, d) != (a, b) and a <= c and d <= b for c, d in found) for q in range(a, b + 1)}
+        want[k] = (len(w), hit, sorted(own), close, sorted(near))
+    places = lambda spans: {q for a, b in spans for q in range(a, b)}
+    found = decontamination.find(docs, bench, 4, 2, block).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        n, hit, own, close, near = want[r.doc_id]
+        assert (r.n_words, places(r.spans), r["items"], r.near_items) == (n, hit, own, near)
+        assert hit <= places(r.near_spans) and close <= places(r.near_spans)
+        assert all(a[1] < b[0] for a, b in zip(r.spans, r.spans[1:], strict=False))
+
+
+def test_near_windows_hold_their_words_in_order():
+    queries = decontamination.compiled([("1", "a b c d e")], 5)
+    for text, want in (("x a b c d e", [(1, 5)]), ("a b x c y d e", [(0, 6)]), ("a b x c y z d e", []), ("a b d c e", []), ("a x b c d a b c d e", [(5, 9)])):
+        segment = decontamination.Segment(*(y if k != 1 else [t.decode() for t in y] for k, y in enumerate(decontamination.inverted([text]))), queries.vocabulary)
+        found = segment.near(queries.windows, queries.lengths, 2 * queries.lengths // 5)
+        assert sorted(set(zip(found[1].tolist(), found[2].tolist(), strict=True))) == want
+
+
+def test_clean_drops_only_hit_rows(spark):
+    rows = [(1, "one two three four", "x"), (1, "five six", "x"), (None, "zero one two three", "x"), (2, None, "x"), (3, "one two", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, h1 string")
+    left = decontamination.clean(docs, spark.createDataFrame([(1, "One two three")], "item_id bigint, text string"), 3)
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr) and left.columns == docs.columns
 
 
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (2, 80)])
