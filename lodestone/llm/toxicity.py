@@ -1,18 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word: insult, threat, target, negation and reported speech. Their
-composition is compiled into one deterministic machine over word classes, whose states say which of target, negation
-and report are pending and how a threat has advanced, and whose transitions emit weights. The best path of each
-matched clause is its score: insults and threats count more at a target, less under negation or in reported speech.
+Five weighted transducers over word classes, composed into one deterministic machine: target, negation and reported
+speech mark a word while one of theirs is pending (a number of words back, or anywhere before in the clause), threat
+marks a threatening word that an intention and a target precede, and insult turns insulting words and marked threats
+into weights. Each reads what the one before it writes: a word class with marks. The machine runs over whole clauses
+that hold an insult or a threat, so that one counts more at a target, and less under negation or in reported speech.
 A document's evidence sums matched clauses by kind; a logistic model over that evidence gives the score.
 
 Insults are a seed list, and words and word stems learnt from labelled documents by sequential covering: the pattern
 that marks toxic documents best (log-likelihood ratio) is taken, the toxic documents that have it are set aside, and so
-on, so that other words of insulting documents and of their copies aren't learnt. Scores read nothing but the text.
+on, so that other words of insulting documents and of their copies aren't learnt. All patterns that pass the tests are
+candidates and are learnt; the bound on labelled rows is what bounds a fit. Scores read nothing but the text.
 
 Null, empty and unmatched texts have no evidence and score the model's base rate, under 0.3. Labels with a null id or
 value are left out; of several for a document the largest counts. Without labels of both kinds the seed grammar scores
-by fixed weights. Rows are independent; columns besides doc_id and text are not read.
+by fixed weights. Rows are independent, an empty table gives none; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, labelled_sample
 
-#: Labelled rows that a fit uses at most (about), candidates and learnt patterns at most, and the tests a pattern passes.
-BOUND, CANDIDATES, LEXICON, LEAST_RATIO, LEAST_ODDS = 20_000, 20_000, 400, 14.0, 2.5
+#: Labelled rows that a fit uses at most (about), and the tests a pattern passes.
+BOUND, LEAST_RATIO, LEAST_ODDS = 20_000, 14.0, 2.5
 CUT = 0.3
 #: Characters of a learnt stem; only longer words have it. A stem is written with a trailing *.
 STEMS = (4, 5)
@@ -56,42 +58,116 @@ _CLAUSE = re.compile(f"[{_MARKS}]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
+#: What a transducer reads and writes: a word class with marks.
+Symbol = tuple[str, frozenset[str]]
+ALPHABET: tuple[Symbol, ...] = tuple((c, frozenset()) for c in CLASSES)
+
+
+class Transducer(NamedTuple):
+    """Deterministic and weighted: arcs[state][symbol read] is (next state, symbol written, weight); it starts in state 0."""
+
+    arcs: list[dict[Symbol, tuple[int, Symbol, float]]]
+
+    def written(self) -> set[Symbol]:
+        return {out for row in self.arcs for _, out, _ in row.values()}
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Reads what a reads and writes what b makes of a's output; weights add. Only states reachable from the start are built."""
+    pairs, arcs = {(0, 0): 0}, []
+    queue = [(0, 0)]
+    for p, q in queue:
+        row = {}
+        for symbol, (p_next, middle, weight) in a.arcs[p].items():
+            q_next, out, more = b.arcs[q][middle]
+            after = p_next, q_next
+            if after not in pairs:
+                pairs[after] = len(queue)
+                queue.append(after)
+            row[symbol] = pairs[after], out, weight + more
+        arcs.append(row)
+    return Transducer(arcs)
+
+
+def pending(read, kind: str, mark: str, reach: int) -> Transducer:
+    """Marks words up to `reach` words after one of a kind. A state counts words since, up to reach, where it starts: it is turned so that state 0 is none pending."""
+    arcs = []
+    for state in range(reach + 1):  # 0: none pending; s: reach - s + 1 words since
+        row = {}
+        for symbol in read:
+            out = (symbol[0], symbol[1] | {mark}) if state else symbol
+            row[symbol] = reach if symbol[0] == kind else max(0, state - 1), out, 0.0
+        arcs.append(row)
+    return Transducer(arcs)
+
+
+def target_transducer(read) -> Transducer:
+    return pending(read, "target", "aimed", REACH["target"])
+
+
+def negation_transducer(read) -> Transducer:
+    return pending(read, "negation", "negated", REACH["negation"])
+
+
+def report_transducer(read) -> Transducer:
+    """Marks every word after one of reported speech."""
+    marked = lambda x: (x[0], x[1] | {"reported"})
+    return Transducer([{x: (int(x[0] == "report"), x, 0.0) for x in read}, {x: (1, marked(x), 0.0) for x in read}])
+
+
+def threat_transducer(read) -> Transducer:
+    """Marks a threatening word under an intention that is aimed."""
+    intends = pending(read, "will", "intended", REACH["will"])
+    known = sorted(intends.written(), key=repr)
+    is_threat = lambda x: x[0] == "threat" and {"aimed", "intended"} <= x[1]
+    chosen = Transducer([{x: (0, (x[0], x[1] - {"intended"} | ({"threat"} if is_threat(x) else set())), 0.0) for x in known}])
+    return compose(intends, chosen)
+
+
+def insult_transducer(read) -> Transducer:
+    """Weighs insults and marked threats by their marks; of other words it writes the bare class."""
+    row = {}
+    for symbol in read:
+        kind, marks = symbol
+        if kind == "insult" or "threat" in marks:
+            weight = WEIGHTS[kind] + sum(WEIGHTS[x] for x in ("aimed", "negated", "reported") if x in marks)
+            row[symbol] = 0, symbol, weight
+        else:
+            row[symbol] = 0, (kind, frozenset()), 0.0
+    return Transducer([row])
+
+
+def composed() -> Transducer:
+    """The grammar: insult over threat over reported speech over negation over target."""
+    machine = target_transducer(ALPHABET)
+    for make in (negation_transducer, report_transducer, threat_transducer, insult_transducer):
+        machine = compose(machine, make(sorted(machine.written(), key=repr)))
+    return machine
+
+
 class Machine(NamedTuple):
-    """The composition: states are (words since target, since negation, since intention, reported), capped at their reach."""
+    """The composition over class numbers: next states, and (kind, weight) of what is emitted."""
 
     step: list[list[int]]
     emit: list[list[tuple[int, float] | None]]
 
 
-def compose() -> Machine:
-    """Product of the five transducers, breadth first from the start state; only reachable states are built."""
-    start = (REACH["target"], REACH["negation"], REACH["will"], False)
-    number, queue, step, emit = {start: 0}, [start], [], []
-    for state in queue:
-        row, out = [], []
-        for kind in CLASSES:
-            target, negation, will, reported = state
-            said = None
-            if kind == "insult":
-                weight = WEIGHTS["insult"] + WEIGHTS["aimed"] * (target < REACH["target"]) + WEIGHTS["negated"] * (negation < REACH["negation"]) + WEIGHTS["reported"] * reported
-                which = "negated" if negation < REACH["negation"] else "reported" if reported else "aimed" if target < REACH["target"] else "plain"
-                said = KINDS.index(which), weight
-            elif kind == "threat" and will < REACH["will"] and target < REACH["target"]:
-                weight = WEIGHTS["threat"] + WEIGHTS["aimed"] + WEIGHTS["negated"] * (negation < REACH["negation"]) + WEIGHTS["reported"] * reported
-                said = KINDS.index("threat"), weight
-            after = (
-                0 if kind == "target" else min(target + 1, REACH["target"]),
-                0 if kind == "negation" else min(negation + 1, REACH["negation"]),
-                0 if kind == "will" else min(will + 1, REACH["will"]),
-                reported or kind == "report",
-            )
-            if after not in number:
-                number[after] = len(queue)
-                queue.append(after)
-            row.append(number[after])
-            out.append(said)
-        step.append(row)
-        emit.append(out)
+def kind_of(symbol: Symbol) -> int | None:
+    """The number in KINDS of what the composition wrote."""
+    kind, marks = symbol
+    if "threat" in marks:
+        return KINDS.index("threat")
+    if kind != "insult":
+        return None
+    return KINDS.index(next((x for x in ("negated", "reported", "aimed") if x in marks), "plain"))
+
+
+def compiled() -> Machine:
+    step, emit = [], []
+    for row in composed().arcs:
+        arcs = [row[x] for x in ALPHABET]
+        step.append([after for after, _, _ in arcs])
+        emit.append([None if kind_of(out) is None else (kind_of(out), weight) for _, out, weight in arcs])
     return Machine(step, emit)
 
 
@@ -99,7 +175,7 @@ class Grammar:
     """The machine with a lexicon: evidence(text) is a vector by KINDS, then the best clause, then matched clauses per 100 words."""
 
     def __init__(self, learnt: dict[str, float]):
-        self.machine = compose()
+        self.machine = compiled()
         self.classes = {w: CLASSES.index(kind) for kind, words in SEED.items() for w in words}
         self.strength = {w: 1.0 for w in SEED["insult"]} | {w: s for w, s in learnt.items() if not w.endswith("*")}
         self.stems = {w[:-1]: s for w, s in learnt.items() if w.endswith("*")}
@@ -181,8 +257,8 @@ UNTRAINED = Model({}, np.array([2.0, 3.0, 0.5, 0.8, 3.0, 2.0, 0.5]), -3.5)
 
 
 def patterns(text: str) -> set[str]:
-    """Words of 3 to 30 letters, and the stems of longer ones."""
-    words = {w for w in _WORD.findall(text.lower()) if 2 < len(w) <= 30}
+    """Words of 3 letters or more, and their stems."""
+    words = {w for w in _WORD.findall(text.lower()) if len(w) > 2}
     return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
@@ -201,7 +277,7 @@ def learn_patterns(documents: list[list[str]], clean_with: dict[str, int], clean
     rated = lambda x: (ratio(len(holders[x]), clean_with[x], toxic, clean), len(x), x)
     heap = [(-r, -n, x) for r, n, x in map(rated, holders) if r > LEAST_RATIO]
     heapq.heapify(heap)
-    while heap and len(out) < LEXICON:
+    while heap:
         r, _, best = heapq.heappop(heap)
         now, n, _ = rated(best) if holders[best] else (0.0, 0, best)
         if now < LEAST_RATIO:
@@ -248,7 +324,7 @@ class _Evidence:
         def call(columns: list[pa.Array]) -> list:
             found = [grammar.evidence(t) for t in columns[1].to_pylist()]
             if self.model:
-                return [columns[0], self.model.score(np.array(found).reshape(len(found), -1))]
+                return [columns[0], self.model.score(np.array(found).reshape(len(found), len(KINDS) + 2))]
             return [columns[2], found]
 
         return call
@@ -263,11 +339,12 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
     if toxic and clean:
         listed = by_batch(rows.select("doc_id", "text", "y"), lambda c: [c[0], c[2], [sorted(patterns(t)) for t in c[1].to_pylist()]], "doc_id bigint, y int, found array<string>")
         counts = listed.select("y", F.explode("found").alias("pattern")).groupBy("pattern").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where((F.col("a") >= 3) & (F.col("a") / toxic > 8 * F.col("b") / clean))
-        clean_with = {r.pattern: r.b for r in counts.orderBy(F.desc(F.col("a") / (F.col("b") + 1)), "pattern").limit(CANDIDATES).collect()}
+        clean_with = {r.pattern: r.b for r in counts.collect()}
         own = by_batch(rows.where("y = 1").select("doc_id", "text"), lambda c: [[sorted(patterns(t) & clean_with.keys()) for t in c[1].to_pylist()]], "found array<string>")
         learnt = learn_patterns(sorted(r.found for r in own.collect()), clean_with, clean)
-    found = by_batch(rows, _Evidence(learnt), "y int, x array<double>").orderBy("y", "x").collect()
-    return fit(learnt, np.array([r.x for r in found]).reshape(len(found), -1), np.array([r.y for r in found]))
+    found = by_batch(rows, _Evidence(learnt), "y int, x array<double>").collect()
+    found.sort(key=lambda r: (r.y, r.x))
+    return fit(learnt, np.array([r.x for r in found]).reshape(len(found), len(KINDS) + 2), np.array([r.y for r in found]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
