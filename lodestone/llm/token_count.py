@@ -8,8 +8,11 @@ the merge table decides; exactly one token qualifies. Whole pre-tokens are memoi
 paths flattened.
 
 A text over `chunk` bytes is cut anywhere. A chunk's state map is (head, count, tail): what lies before its first and
-after its last safe boundary, a place between a character and white space, where the transducers are in their start
-state whatever came before. Maps compose associatively: tail and head meet and are counted together.
+after its last safe boundary, where the transducers are in their start state whatever came before. Boundaries are
+places before white space, and between characters of two classes (letters, numbers, others) unless an apostrophe or a
+special token is at hand. Maps compose associatively: tail and head meet and are counted together. They are combined
+by a parallel prefix scan, a tree in which a task composes FAN_IN neighbours, so that no task takes all maps of a
+text. A head or tail is as long as a run without a boundary; one pre-token longer than a chunk meets in one task.
 
 Null and empty texts have 0 tokens. Rows are independent, ids may be null or repeat; columns besides doc_id and text
 are not read.
@@ -21,6 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import regex
@@ -34,7 +38,10 @@ CHUNK = 1 << 16
 MEMO, LONGEST = 400_000, 40
 #: The pre-token pattern of byte-level tokenizers. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BOUNDARY = regex.compile(r"(?<=\S)(?=\s)")
+#: State maps that a task composes; as a string has under 2 ** 31 bytes, so many levels do for any text.
+FAN_IN, LEVELS = 32, 3
+#: Places where a pre-token ends whatever stands around: before white space, and between letters, numbers and others, but for the apostrophe of a contraction.
+BOUNDARY = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}'])|(?<=\p{N})(?=[^\s\p{N}'])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def byte_letters() -> dict[str, int]:
@@ -148,6 +155,7 @@ class Counter(dict):
         self.stand_ins = stand_ins(path)
         low = min(self.stand_ins, default=0x10FFFF)
         self.late = re.compile(f"[{chr(low)}-\U0010ffff]").search
+        self.reach = max(map(len, self.second.special), default=0)
         self.at_special = regex.compile("|".join(map(regex.escape, self.second.special))).split if self.second.special else lambda text: [text]
 
     def __missing__(self, word: str) -> int:
@@ -173,30 +181,66 @@ class Counter(dict):
 StateMap = tuple[str, int | None, str]
 
 
-def state_map(text: str, count) -> StateMap:
-    found = BOUNDARY.search(text)
+def boundaries(text: str, count: Counter) -> tuple[int, int] | None:
+    """The first and the last safe boundary inside a text, or None. Near its ends a special token may reach over the cut, so there only white space is one."""
+    reach = count.reach
+    shown = text.translate(count.stand_ins) if count.late(text) else text
+
+    def safe(at: int) -> bool:
+        if shown[at].isspace() or not reach:
+            return True
+        return reach <= at <= len(text) - reach and not any(text.startswith(x, at - k) for x in count.second.special for k in range(1, len(x)))
+
+    first = next((m.start() for m in BOUNDARY.finditer(shown) if safe(m.start())), None)
+    if first is None:
+        return None
+    size = 1 << 10
+    while True:  # the last one is in the last so many characters
+        low = max(first, len(text) - size)
+        last = max((m.start() for m in BOUNDARY.finditer(shown, max(0, low - 1)) if m.start() >= low and safe(m.start())), default=None)
+        if last is not None or low == first:
+            return first, first if last is None else last
+        size *= 8
+
+
+def state_map(text: str, count: Counter) -> StateMap:
+    found = boundaries(text, count)
     if not found:
         return text, None, ""
-    first, last = found.start(), len(text)
-    while not BOUNDARY.match(text, last):
-        last -= 1
+    first, last = found
     return text[:first], count(text[first:last]), text[last:]
 
 
-def composed(a: StateMap, b: StateMap, count) -> StateMap:
+def composed(a: StateMap, b: StateMap, count: Counter) -> StateMap:
+    if a[1] is not None and b[1] is not None:
+        return a[0], a[1] + count(a[2] + b[0]) + b[1], b[2]
     if a[1] is None and b[1] is None:
-        whole = a[0] + b[0]
-        return state_map(whole, count)
-    if a[1] is None:
-        head, n, _ = state_map(a[0] + b[0], count)
-        return head, b[1] + (n or 0) + (count(_) if n is not None else 0), b[2]
-    if b[1] is None:
-        head, n, tail = state_map(a[2] + b[0], count)
-        return (a[0], a[1], head) if n is None else (a[0], a[1] + count(head) + n, tail)
-    return a[0], a[1] + count(a[2] + b[0]) + b[1], b[2]
-
-
-def total(whole: StateMap, count) -> int:
+        return state_map(a[0] + b[0], count)
+    head, n, tail = state_map((a[0] if a[1] is None else a[2]) + b[0], count)
+    if a[1] is None:  # b has boundaries: what the joined part leaves after its last one ends at b's first
+        return (head, b[1], b[2]) if n is None else (head, n + count(tail) + b[1], b[2])
+    return (a[0], a[1], head) if n is None else (a[0], a[1] + count(head) + n, tail)
+
+
+def gathered(maps: list[StateMap], count: Counter) -> StateMap:
+    """Neighbours composed pairwise; runs without a boundary are joined first, so that a long one is searched once."""
+    joined: list[StateMap] = []
+    open_: list[str] = []
+    for m in [*maps, None]:
+        if m is not None and m[1] is None:
+            open_.append(m[0])
+            continue
+        if open_:
+            joined.append(state_map("".join(open_), count))
+            open_ = []
+        if m is not None:
+            joined.append(m)
+    while len(joined) > 1:
+        joined = [composed(*joined[k : k + 2], count) if k + 1 < len(joined) else joined[k] for k in range(0, len(joined), 2)]
+    return joined[0]
+
+
+def total(whole: StateMap, count: Counter) -> int:
     return count(whole[0]) + (whole[1] or 0) + count(whole[2])
 
 
@@ -232,13 +276,16 @@ class _Small:
         return call
 
 
+MAPS = "row bigint, doc_id bigint, n_bytes bigint, part bigint, head string, n bigint, tail string"
+
+
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens: one row per document. path: a tokenizer file of the tokenizers library with byte-level BPE, readable on every executor."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     small = by_batch(rows.where(F.col("n_bytes") <= chunk), _Small(path), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     keyed = rows.where(F.col("n_bytes") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "text")
     out_schema = pa_schema("doc_id bigint, n_bytes bigint, n_tokens bigint")
-    cut_schema, map_schema = pa_schema("row bigint, doc_id bigint, n_bytes bigint, part bigint, text string"), pa_schema("row bigint, doc_id bigint, n_bytes bigint, part bigint, head string, n bigint, tail string")
+    cut_schema, map_schema = pa_schema("row bigint, doc_id bigint, n_bytes bigint, part bigint, text string"), pa_schema(MAPS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,21 +301,22 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(heads, "string"), pa.array(ns, "int64"), pa.array(tails, "string")], schema=map_schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by row and part; neighbours compose."""
-        count, open_row, state = counter(path), None, None
-        done = lambda: pa.RecordBatch.from_pylist([{"doc_id": open_row[1], "n_bytes": open_row[2], "n_tokens": total(state, count)}], schema=out_schema)
+        """Rows come sorted by row and part; those of one row and group of FAN_IN parts make one map, numbered as the group."""
+        count = counter(path)
+        rows = ((*row,) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (row, doc, size, group), own in groupby(rows, key=lambda r: (*r[:3], r[3] // FAN_IN)):
+            made = gathered([r[4:] for r in own], count)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row, doc, size, group, *made), map_schema, strict=True)], schema=map_schema)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
         for batch in batches:
-            for row, doc, size, _, *now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if open_row and open_row[0] == row:
-                    state = composed(state, tuple(now), count)
-                else:
-                    if open_row:
-                        yield done()
-                    open_row, state = (row, doc, size), tuple(now)
-        if open_row:
-            yield done()
+            ns = [total(m, count) for m in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:3], pa.array(ns, "int64")], schema=out_schema)
 
     chunks = keyed.mapInArrow(cut, "row bigint, doc_id bigint, n_bytes bigint, part bigint, text string").repartition("row", "part")
-    mapped = chunks.mapInArrow(maps, "row bigint, doc_id bigint, n_bytes bigint, part bigint, head string, n bigint, tail string")
-    giant = mapped.repartition("row").sortWithinPartitions("row", "part").mapInArrow(scan, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    mapped = chunks.mapInArrow(maps, MAPS)
+    for _ in range(LEVELS):
+        mapped = mapped.repartition("row", F.floor(F.col("part") / FAN_IN)).sortWithinPartitions("row", "part").mapInArrow(scan, MAPS)
+    giant = mapped.mapInArrow(finished, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return small.unionByName(giant)
