@@ -116,6 +116,20 @@ class Porter:
         return w[:-1] if w.endswith("ll") and self.measure(w) > 1 else w
 
 
+def pieces(path: str):
+    """A function of a text column: its pieces under the SentencePiece model at a path that every executor reads. Null: null."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def encoded(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        for part in found:
+            yield part.map(lambda x: None if x is None else model.encode(x, out_type=str))
+
+    return encoded
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def stems(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Porter stems of an array of tokens."""
@@ -144,7 +158,7 @@ def short_date(date: Column) -> Column:
 
 
 #: Names and labels of entities by form, where no model is given. Fixed values.
-ENTITY_PATTERNS = (("DATE", r"\b\d{1,2} [A-Z][a-z]+ \d{4}\b"), ("MONEY", r"[$€£]\d+(?:[.,]\d+)*"), ("NAME", r"\b(?:[A-Z][a-z]+ )+[A-Z][a-z]+\b"))
+ENTITY_PATTERNS = (("DATE", r"\b\d{1,2} [A-Z][a-z]+ \d{4}\b"), ("MONEY", r"[$€£]\d+(?:[.,]\d+)*"), ("PERCENT", r"\d+(?:[.,]\d+)*%"), ("TIME", r"\b\d{1,2}:\d{2}\b"), ("ORDINAL", r"\b\d+(?:st|nd|rd|th)\b"), ("CARDINAL", r"\b\d+(?:[.,]\d{3})*\b"), ("ORG", r"\b[A-Z]{2,5}\b"), ("NAME", r"\b(?:[A-Z][a-z]+ )+[A-Z][a-z]+\b"))
 
 
 def entities(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stems, tokens, without
@@ -17,8 +17,8 @@ def tokenised(docs: DataFrame, stop_words: list[str] | None = None, stem: bool =
     return docs.select("doc_id", (stems(found) if stem else found).alias("t"))
 
 
-def postings(docs: DataFrame, terms: list[str] | None = None, stop_words: list[str] | None = None, stem: bool = False) -> DataFrame:
-    """(term, doc_id, tf, positions): one row per term and document. With terms, other tokens are dropped inside the array, before rows are made.
+def postings(docs: DataFrame, terms: list[str] | None = None, stop_words: list[str] | None = None, stem: bool = False, lengths: bool = False) -> DataFrame:
+    """(term, doc_id, tf, positions), with lengths also dl, the document's tokens: one row per term and document. With terms, other tokens are dropped inside the array, before rows are made.
 
     A row is bounded by its document. Rows are grouped by (term, doc_id), so a frequent term is spread over all tasks.
     """
@@ -27,8 +27,9 @@ def postings(docs: DataFrame, terms: list[str] | None = None, stop_words: list[s
         placed = F.filter(placed, lambda p: p["term"].isin(terms))
     if stop_words:
         placed = F.filter(placed, lambda p: ~p["term"].isin(stop_words))
-    rows = tokenised(docs, stem=stem).select("doc_id", F.explode(placed).alias("p"))
-    return rows.groupBy(F.col("p.term").alias("term"), "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p.pos")).alias("positions"))
+    own = (F.size("t").cast("bigint").alias("dl"),) if lengths else ()
+    rows = tokenised(docs, stem=stem).select("doc_id", *own, F.explode(placed).alias("p"))
+    return rows.groupBy(F.col("p.term").alias("term"), "doc_id", *(["dl"] if lengths else [])).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p.pos")).alias("positions"))
 
 
 def lexicon(index: DataFrame) -> DataFrame:
@@ -79,18 +80,24 @@ def trie_words(inserts: DataFrame) -> DataFrame:
 
 
 def with_prefix(words: DataFrame, prefix: str, column: str = "word") -> DataFrame:
-    """Pushed to the scan as StringStartsWith."""
+    """Pushed to the scan as StringStartsWith where words are a stored table, as the lexicon is."""
     return words.where(F.col(column).startswith(prefix))
 
 
-def save(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Term-partitioned Parquet: a query reads the folders of its terms only."""
-    index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def trie_search(words: DataFrame, word: str) -> DataFrame:
+    """The row of a word, as trie_words made it; none if it isn't in the trie."""
+    return words.where(F.col("word") == word)
 
 
-def load(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    stored = spark.read.parquet(path)
-    if terms is None:
-        return stored.drop("bucket")
-    wanted = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
-    return stored.where(F.col("bucket").isin(wanted) & F.col("term").isin(terms)).drop("bucket")
+def trie_contains(words: DataFrame, word: str) -> bool:
+    return not trie_search(words, word).isEmpty()
+
+
+def trie_len(words: DataFrame) -> DataFrame:
+    """One row (size): the number of inserts."""
+    return words.agg(F.coalesce(F.sum("word_frequency"), F.lit(0)).alias("size"))
+
+
+def trie_traverse(words: DataFrame) -> DataFrame:
+    """The words in depth-first order, children by character: a word comes before those that it starts."""
+    return words.orderBy("word")

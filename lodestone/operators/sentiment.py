@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.storage import written
 
 #: Probability over which a text is positive.
 THRESHOLD = 0.9
@@ -25,8 +26,11 @@ def split(rows: DataFrame, share: float = 0.9, seed: int = 42) -> list[DataFrame
 
 
 def train(rows: DataFrame, features: int = 1 << 14) -> PipelineModel:
-    """rows: (text, sentiment)."""
-    return Pipeline(stages=[HashingTF(inputCol="t", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="sentiment", maxIter=20, regParam=0.01)]).fit(prepared(rows))
+    """rows: (text, sentiment). Texts are read once: their hashed counts are written, and the passes of the fit read those."""
+    counted = HashingTF(inputCol="t", outputCol="tf", numFeatures=features)
+    held = written(counted.transform(prepared(rows)).select("tf", "sentiment"))
+    fitted = Pipeline(stages=[IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="sentiment", maxIter=20, regParam=0.01)]).fit(held)
+    return PipelineModel(stages=[counted, *fitted.stages])
 
 
 def predict(model: PipelineModel, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Operators are upper case and tried in a fixed order, each splitting the whole string: AND NOT (every occurrence), OR NOT
 and then AND, OR (first occurrence), leading NOT, #n(a, b), quotes, else all words of the string. So OR binds tighter
-than AND. Empty queries and phrases with unknown words give no rows.
+than AND. Strings and their parts are stripped first. Empty queries and phrases with unknown words give no rows.
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ class OrNot(NamedTuple):
 
 
 def parse(query: str):
+    query = query.strip()
     if " AND NOT " in query:
         first, *rest = query.split(" AND NOT ")
         return Without(parse(first), tuple(map(parse, rest)))
@@ -85,9 +86,12 @@ def words_of(tree) -> set[str]:
 
 
 def evaluate(query: str, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(doc_id, positions). One pass over docs (or a read of a stored index) finds all words of the query, grouped by document; the tree is then an expression over that row, so no leaf is joined."""
+    """(doc_id, positions). One pass over docs (or a read of an index) finds all words of the query, grouped by document; the tree is then an expression over that row, so no leaf is joined. docs may hold ids only if there is an index."""
     tree = parse(query)
     words = sorted(words_of(tree))
+    if not words:
+        matched, positions = compiled(tree, {})
+        return docs.where(matched).select("doc_id", positions.alias("positions"))
     hits = (postings(docs, words) if index is None else index.where(F.col("term").isin(words))).groupBy("doc_id").agg(*(F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("positions")))).alias(f"w{k}") for k, w in enumerate(words)))
     columns = {w: F.coalesce(F.col(f"w{k}"), F.array().cast("array<int>")) for k, w in enumerate(words)}
     rows = docs.select("doc_id").join(hits, "doc_id", "left") if needs_absent(tree) else hits
@@ -95,6 +99,11 @@ def evaluate(query: str, docs: DataFrame, index: DataFrame | None = None) -> Dat
     return rows.where(matched).select("doc_id", positions.alias("positions"))
 
 
+def stored(query: str, store) -> DataFrame:
+    """evaluate() over a stored index: reads the postings of the query's words, and all ids only if documents without any of them can match."""
+    return evaluate(query, store.documents(), store.postings(sorted(words_of(parse(query)))))
+
+
 def needs_absent(tree) -> bool:
     """Whether documents without any word of the query can match."""
     if isinstance(tree, Not):

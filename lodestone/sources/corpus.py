@@ -12,6 +12,15 @@ def news_filter(news: DataFrame, publications: list[str], since: str | None = No
     return (kept.where(F.col("date") >= since) if since else kept).orderBy("date")
 
 
+#: Columns of a news table in a CSV. Fixed names.
+PREPARED = ("date_publish", "outlet", "headline", "lead", "body", "authors", "domain", "url", "political_leaning")
+
+
+def prepared(news: DataFrame) -> DataFrame:
+    """Rows with a headline, and the columns that the database takes."""
+    return news.where(F.col("headline").isNotNull()).select(*PREPARED)
+
+
 def group_sample(rows: DataFrame, group: str, n: int, key: Column) -> DataFrame:
     """n rows of each group, the first by key: a hash of an id makes it a sample that stays the same. Ranks are limited inside each task before the shuffle."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("_r") <= n).drop("_r")

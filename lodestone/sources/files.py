@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from ..plans.storage import epochs, written
+
 NEWS = "doc_id bigint, date string, title string, article string, outlet string, lead_paragraph string, authors string, domain string, url string, political_leaning string"
 
 
@@ -30,6 +32,35 @@ def pruned(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(files.select("path"), "path", "left_semi")
 
 
+MANIFEST = "path string, sha256 string"
+
+
+def save_manifest(manifest: DataFrame, path: str) -> None:
+    """Keeps (path, sha256) as the next version at path; earlier ones stay as backups."""
+    at = max(epochs(manifest.sparkSession, path), default=-1) + 1
+    manifest.select("path", "sha256").write.mode("overwrite").parquet(f"{path}/epoch={at}")
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version kept; empty if there is none."""
+    found = epochs(spark, path)
+    return spark.read.schema(MANIFEST).parquet(f"{path}/epoch={found[-1]}") if found else spark.createDataFrame([], MANIFEST)
+
+
+def change_queue(files: DataFrame, path: str, clear: bool = False) -> DataFrame:
+    """Files (path, sha256, ...) that are new or changed against the manifest kept at path. clear: keeps the files' checksums as the new manifest, without files that are gone, so that the queue is empty until something changes."""
+    queue = changed(files, load_manifest(files.sparkSession, path))
+    if clear:
+        queue = written(queue)
+        save_manifest(files, path)
+    return queue
+
+
+def html_page(spark: SparkSession, root: str, doc_id: int) -> DataFrame:
+    """(path, sha256, html) of the page news_<doc_id>.html of a folder; no row if there is none."""
+    return html_files(spark, [root], f"news_{doc_id}.html").where(F.col("path").endswith(f"/news_{doc_id}.html"))
+
+
 def non_empty(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise ValueError("the corpus is empty")
@@ -111,9 +142,10 @@ def unescaped(text: pd.Series) -> pd.Series:
 def rendered(news: DataFrame) -> DataFrame:
     """(doc_id, outlet_key, html): a page per row; outlet_key is the last word of the outlet, lower-cased."""
     tag = lambda name, id_, column: F.concat(F.lit(f'<{name} id="{id_}">'), escaped(column), F.lit(f"</{name}>"))
-    meta = lambda id_: F.concat(F.lit(f'<meta id="{id_}" content="'), escaped(id_), F.lit('">'))
+    meta = lambda id_: F.concat(F.lit(f'<meta name="{id_}" content="'), escaped(id_), F.lit(f'" id="{id_}" hidden="true">'))
+    said = lambda before, column: F.concat(F.lit(before), F.coalesce(column, F.lit("")))
     body = F.concat(F.lit("<p>"), F.replace(escaped("article"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
-    page = F.concat(F.lit("<html><head>"), meta("lead_paragraph"), meta("domain"), meta("url"), F.lit("</head><body>"), tag("h3", "outlet", F.concat(F.lit("Publication outlet: "), "outlet")), tag("h4", "political_leaning", "political_leaning"), tag("h1", "title", "title"), tag("h4", "authors", "authors"), tag("sub", "date", F.concat(F.lit("Published "), "date")), F.lit('<div id="article">'), body, F.lit("</div></body></html>"))
+    page = F.concat(F.lit('<!DOCTYPE html><html><head><title>News</title><link href="../styling/news_style.css" rel="stylesheet"><meta charset="utf-8">'), meta("lead_paragraph"), meta("domain"), meta("url"), F.lit("</head><body>"), tag("h3", "outlet", said("Publication outlet: ", F.col("outlet"))), tag("h4", "political_leaning", "political_leaning"), tag("h1", "title", "title"), tag("h4", "authors", said("Written by: ", F.col("authors"))), tag("sub", "date", said("Published ", F.col("date"))), F.lit('<div id="article">'), body, F.lit("</div></body></html>"))
     return news.select("doc_id", F.element_at(F.split(F.lower("outlet"), " "), -1).alias("outlet_key"), page.alias("html"))
 
 
@@ -126,16 +158,26 @@ def read_xml(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).xml(path)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows in an order with numbers from 1. They are sorted over all tasks and written; counts of the partitions, as many as there are tasks, give each its first number."""
+    placed = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("_part", before.alias("_before"))
+    return placed.join(F.broadcast(firsts), part == F.col("_part")).withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 def write_xml(news: DataFrame, path: str) -> None:
     """DOCNO from 1 by date and title; DATE as yyyy-MM-dd."""
-    numbered = news.select(F.row_number().over(Window.orderBy("date", "title")).alias("DOCNO"), F.date_format(F.to_timestamp("date"), "yyyy-MM-dd").alias("DATE"), F.col("title").alias("HEADLINE"), F.col("article").alias("TEXT"))
-    numbered.write.mode("overwrite").option("rowTag", "DOC").option("rootTag", "document").xml(path)
+    numbered_news = numbered(news, ["date", "title"], "DOCNO").select("DOCNO", F.date_format(F.to_timestamp("date"), "yyyy-MM-dd").alias("DATE"), F.col("title").alias("HEADLINE"), F.col("article").alias("TEXT"))
+    numbered_news.write.mode("overwrite").option("rowTag", "DOC").option("rootTag", "document").xml(path)
 
 
-def xml_to_rows(docs: DataFrame) -> DataFrame:
-    """(news_title, text) with defaults for what is missing."""
+def xml_to_rows(docs: DataFrame, *kept: str) -> DataFrame:
+    """(news_title, text) with defaults for what is missing, after the columns kept."""
     clean = lambda c: F.nullif(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")), F.lit(""))
-    return docs.select(F.coalesce(clean("HEADLINE"), F.lit("No Title Found")).alias("news_title"), F.coalesce(clean("TEXT"), F.lit("No Text Found")).alias("text"))
+    return docs.select(*kept, F.coalesce(clean("HEADLINE"), F.lit("No Title Found")).alias("news_title"), F.coalesce(clean("TEXT"), F.lit("No Text Found")).alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
