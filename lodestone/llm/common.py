@@ -2,67 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import fit_to_send, scratch, shared_dir, written  # noqa: F401
+
 #: White space of the word rules: space and U+0009 to U+000D. Fixed value.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows of text handed to one kernel call; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 4000
-#: Rows of 16 to 24 bytes that are broadcast at most.
-BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode, as in tests; a cluster has no folder to fall back on."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-_swept: set[str] = set()
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder. What an application leaves there goes when its driver ends."""
-    app = spark.sparkContext.applicationId
-    top = f"{shared_dir(spark)}/lodestone/{app}"
-    if top not in _swept:
-        path = spark._jvm.org.apache.hadoop.fs.Path(top)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _swept.add(top)
-    return f"{top}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, **options) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: the lineage ends there and survives lost executors. options: of the writer."""
-    path = scratch(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fit_to_send(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of a few numbers marked for broadcast if they are few enough; more are joined by a shuffle."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def fold(column: str, mod: int) -> Column:
     """crc32 of an id as text, modulo mod: the rule that fixes held-out rows. A null id has no fold (null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod

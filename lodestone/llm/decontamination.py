@@ -364,5 +364,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack:
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, with all their columns, in which no window occurs. Rows are told by two hashes of the text, as equal texts have equal verdicts; those to drop are broadcast if few, else joined by a shuffle."""
     found = search(index(docs.select("doc_id", "text")), items, width, 0)
-    gone = written(found.where(F.size("spans") > 0).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct())
-    return docs.join(fit_to_send(gone), (F.xxhash64(docs["text"]) == F.col("_h1")) & (F.xxhash64(F.lit(1), docs["text"]) == F.col("_h2")), "left_anti")
+    one, two = (f"_h{k}_{uuid.uuid4().hex}" for k in (1, 2))  # no column of docs has these names
+    gone = written(found.where(F.size("spans") > 0).select(F.col("h1").alias(one), F.col("h2").alias(two)).distinct())
+    return docs.join(fit_to_send(gone), (F.xxhash64("text") == F.col(one)) & (F.xxhash64(F.lit(1), "text") == F.col(two)), "left_anti")
