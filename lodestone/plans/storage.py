@@ -37,11 +37,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, **options) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: the lineage ends there and survives lost executors. options: of the writer."""
-    path = scratch(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def compact(df: DataFrame) -> DataFrame:
+    """df in as many partitions at most as keep every core busy twice, or a sixteenth of the shuffle's: for results of shuffles that hold a few numbers a row, whose files would be many and tiny."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
+def written(df: DataFrame, small: bool = False, **options) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: the lineage ends there and survives lost executors. small: compact() first. options: of the writer."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    (compact(df) if small else df).write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a few numbers that are broadcast at most.
