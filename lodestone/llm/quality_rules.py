@@ -53,15 +53,21 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in windows of three that occur twice or more in the array, first occurrences included.
 
-    Windows are sorted with their positions, so equal ones are neighbours; of the flagged positions p, in order,
-    each covers min(3, next - p) words.
+    Windows are sorted by a hash, then by their words (compared where hashes meet), then by position, so equal ones are
+    neighbours; of the flagged positions p, in order, each covers min(3, next - p) words.
     """
+    three = ("a", "b", "c")
 
     def windows(w: Column) -> Column:
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(3))).alias("h"), *(F.get(w, i + k).alias(c) for k, c in enumerate(three)), i.alias("i"))))
 
     def flagged(s: Column) -> Column:
-        same = lambda x, k: x["g"].eqNullSafe(F.get(s, k)["g"])
+        def same(x: Column, k: Column) -> Column:
+            found = x["h"].eqNullSafe(F.get(s, k)["h"])
+            for c in three:
+                found &= x[c].eqNullSafe(F.get(s, k)[c])
+            return found
+
         return F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
@@ -73,7 +79,7 @@ def repeated_words(words: Column) -> Column:
 def counts(docs: DataFrame) -> DataFrame:
     """The counts that the rules refer to: one projection over doc_id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    stop = F.array(*map(F.lit, sorted({w for ws in STOP_WORDS.values() for w in ws})))
+    stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
     staged = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.array_remove(F.split("text", WORD_SPLIT), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     long = lambda c: c.cast("long")
     removed = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
@@ -86,7 +92,7 @@ def counts(docs: DataFrame) -> DataFrame:
         long(repeated_words(F.col("words"))).alias("n_repeat_words"),
         long(F.size("lines")).alias("n_lines"),
         long(removed(r"[^!]+")).alias("n_shouts"),
-        long(F.size("words") - F.size(F.filter("words", lambda w: ~F.array_contains(stop, F.lower(w))))).alias("n_stop_words"),
+        long(F.size(F.filter("words", lambda w: F.lower(w).isin(stop)))).alias("n_stop_words"),
     )
 
 
