@@ -167,8 +167,13 @@ def test_clean_drops_only_hit_rows(spark):
     assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr) and left.columns == docs.columns
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (2, 80)])
-def test_ngram_join_against_brute_force(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "limits"), [(3, 90, {}), (2, 80, {}), (3, 90, {"SMALL": 2, "BLOCK_TOKENS": 150}), (2, 80, {"SMALL": 2, "BLOCK_TOKENS": 400, "BROADCAST_ROWS": 1, "HOT": 5})])
+def test_ngram_join_against_brute_force(spark, monkeypatch, k, num, limits):
+    """limits: blocks, parts of components and shuffled joins come into play on few rows too."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    if "BROADCAST_ROWS" in limits:
+        monkeypatch.setattr(ngram_join, "fit_to_send", lambda rows: rows)
     draw = random.Random(k)
     base = [[draw.choice("abcdefgh") + str(draw.randrange(40)) for _ in range(60)] for _ in range(6)]
     rows = [(None, " ".join(base[0])), (900, None), (901, "")]
@@ -190,6 +195,16 @@ def test_ngram_join_against_brute_force(spark, k, num):
     least = {x: min((rows[i][0] for i in range(len(rows)) if label[i] == x and rows[i][0] is not None), default=None) for x in set(label)}
     want = sorted(((rows[i][0], len(sets[i]), least[label[i]]) for i in range(len(rows))), key=repr)
     assert sorted(map(tuple, ngram_join.jaccard_components(docs, k, num, 100).collect()), key=repr) == want
+    kept = sorted(map(tuple, ngram_join.deduplicated(docs, k, num, 100).collect()), key=repr)
+    assert kept == sorted((r for i, r in enumerate(rows) if not sets[i] or r[0] == least[label[i]]), key=repr)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, an id with two texts, and rows that are there twice."""
+    copy = "one two three four five six seven"
+    rows = [(None, copy, "x"), (None, copy, "x"), (5, copy, "x"), (5, copy, "x"), (7, copy + " ", "x"), (5, "quite another text that has nothing of it", "x"), (None, "alone and without an id", "x"), (None, None, "x"), (None, "only unnamed copies of this", "x"), (None, "only unnamed copies of this", "x")]
+    found = ngram_join.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string, h string"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([rows[2], rows[5], rows[6], rows[7], rows[8]], key=repr)
 
 
 def test_classifiers_edges():

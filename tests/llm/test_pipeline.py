@@ -38,7 +38,7 @@ def language_model(docs):
 
 
 def without_copies(docs):
-    """Flood fill over all pairs: of each group the smallest id stays, one row of it; null ids stay."""
+    """Flood fill over all pairs: of each group one row with the smallest id stays, null ids last."""
     sets = []
     for _, t, _ in docs:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", lowered(t)) if x]
@@ -51,17 +51,11 @@ def without_copies(docs):
             i = todo.pop()
             if group[i] is None:
                 group[i] = start
-                todo += [j for j in range(len(docs)) if group[j] is None and (linked(sets[i], sets[j]) or docs[i][0] is not None and docs[i][0] == docs[j][0])]
-    least = {}
-    for g, (d, _, _) in zip(group, docs, strict=True):
-        if d is not None:
-            least[g] = min(d, least.get(g, d))
-    kept, seen = [], set()
-    for g, row in zip(group, docs, strict=True):
-        if row[0] is None or row[0] == least[g] and row[0] not in seen:
-            seen.add(row[0])
-            kept.append(row)
-    return kept
+                todo += [j for j in range(len(docs)) if group[j] is None and linked(sets[i], sets[j])]
+    best = {}
+    for k, (g, (d, _, _)) in enumerate(zip(group, docs, strict=True)):
+        best[g] = min(best.get(g, (True, 0, k)), (d is None, d or 0, k))
+    return [row for k, (g, row) in enumerate(zip(group, docs, strict=True)) if best[g][2] == k]
 
 
 def is_clean(text, items):
