@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, pa_schema, written
 
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 SPACE = "▁"
 State = tuple[int, int]
 MEMO = 500_000
@@ -46,6 +46,9 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that reach over a space are not supported")
+        probe = "A  b\u00a0\ufb01 e\u0301\u3000x\n\t\u00c9 "
+        if self.library.normalize(probe) != escaped(probe):
+            raise ValueError("models that change characters or spaces before encoding are not supported")
         self.raw = [b"" if fixed[i] else self.library.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
