@@ -38,9 +38,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """df in as many partitions at most as keep every core busy twice, or a sixteenth of the shuffle's: for results of shuffles that hold a few numbers a row, whose files would be many and tiny."""
+    """df in as many partitions at most as keep every core busy four times, or a quarter of the shuffle's: for results of shuffles that hold a few numbers a row, whose files would be many and tiny."""
     spark = df.sparkSession
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def written(df: DataFrame, small: bool = False, **options) -> DataFrame:
@@ -51,7 +51,7 @@ def written(df: DataFrame, small: bool = False, **options) -> DataFrame:
 
 
 #: Rows of a few numbers that are broadcast at most.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def fit_to_send(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
