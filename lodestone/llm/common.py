@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,6 +55,15 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def tidy() -> None:
+    """Hands memory that is free back to the system: a Python worker lives on after its task, and others run beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_batch(df: DataFrame, kernel: Callable[[list[pa.Array]], list], schema: str, text: str | None = "text") -> DataFrame:
     """mapInArrow with kernel(columns) -> columns, over slices of a batch that hold about SLICE_BYTES of text.
 
@@ -70,7 +81,7 @@ def by_batch(df: DataFrame, kernel: Callable[[list[pa.Array]], list], schema: st
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, types, strict=True)], schema=types)
         if hasattr(kernel, "release"):
             kernel.release()
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -86,6 +97,7 @@ def rows_where(df: DataFrame, verdict: Callable[[list[str | None]], list[bool]],
         for batch in batches:
             for part in slices(batch, at):
                 yield part.filter(pa.array([bool(x) for x in call(part.column(at).to_pylist())], "bool"))
+        tidy()
 
     return df.mapInArrow(run, df.schema)
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fit_to_send, pa_schema, slices, written
+from .common import bounded_batches, fit_to_send, pa_schema, slices, tidy, written
 
 WIDTH = 10
 #: Words that a near window may hold besides its own.
@@ -42,6 +42,10 @@ SLACK = 2
 BLOCK_BYTES = 16 << 20
 #: Bytes of text in a segment (more if a document has more), and segments in a file, which a reader holds at once.
 SEGMENT_BYTES, FILE_SEGMENTS = 1 << 20, 64
+#: A row is large, so the writer looks at the sizes of pages and row groups after each; else a page holds a hundred rows or more, and as much again in the codec's buffers.
+PAGES = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.block.size": 32 << 20}
+#: Windows that are searched at once in a segment.
+WINDOWS = 2000
 _KEEP = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -91,8 +95,9 @@ def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
                 one = lambda x, f: pa.ListArray.from_arrays(pa.array([0, len(x)], "int32"), x if isinstance(x, pa.Array) else pa.array(x, f.type.value_type))
                 made = (*part.columns[:3], *inverted(part.column(3).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array([next(number)], "int64"), *(one(x, f) for x, f in zip(made, list(schema)[1:], strict=True))], schema=schema)
+        tidy()
 
-    return written(rows.mapInArrow(run, INDEX), maxRecordsPerFile=FILE_SEGMENTS)
+    return written(rows.mapInArrow(run, INDEX), maxRecordsPerFile=FILE_SEGMENTS, **PAGES)
 
 
 def inverted(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
@@ -277,17 +282,31 @@ def blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[tuple[Block, i
         yield Block(uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])), n
 
 
-def searched(stored: DataFrame, block: Block, width: int, slack: int) -> DataFrame:
+def found_in(segment: Segment, queries: Queries, room: np.ndarray | None) -> tuple:
+    """spans, items, near spans and near items of each document. Windows are searched WINDOWS at a time, which bounds the postings in hand; room None: no near windows."""
+    exact, near = [], []
+    for at in range(0, len(queries.windows), WINDOWS):
+        part = slice(at, at + WINDOWS)
+        which, start = segment.phrases(queries.windows[part], queries.lengths[part])
+        exact.append((which + at, start, start + queries.lengths[part][which]))
+        if room is not None:
+            which, first, last = segment.near(queries.windows[part], queries.lengths[part], room[part])
+            near.append((which + at, first, last + 1))
+    out = []
+    for parts in (exact, near):
+        which, start, end = map(np.concatenate, zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 3
+        out += [spans_by_document(segment, start, end), [sorted(queries.items[k] for k in x) for x in items_by_document(segment, queries, which, start)]]
+    return tuple(out)
+
+
+def searched(stored: DataFrame, block: Block, width: int, slack: int | None) -> DataFrame:
     """KEYED: one row per document of the index, with what it has of a block."""
     schema = pa_schema(KEYED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = block.queries(width)
-        room = slack * queries.lengths // width
+        room = None if slack is None else slack * queries.lengths // width
         for own, segment in segments(batches, queries.vocabulary):
-            which, start = segment.phrases(queries.windows, queries.lengths)
-            close, first, last = segment.near(queries.windows, queries.lengths, room)
-            names = lambda found: [sorted(queries.items[k] for k in x) for x in found]
             n = len(segment.starts) - 1
             columns = [
                 [own["segment"]] * n,
@@ -296,25 +315,23 @@ def searched(stored: DataFrame, block: Block, width: int, slack: int) -> DataFra
                 own["h2"],
                 own["ids"],
                 np.diff(segment.starts),
-                spans_by_document(segment, start, start + queries.lengths[which]),
-                names(items_by_document(segment, queries, which, start)),
-                spans_by_document(segment, first, last + 1),
-                names(items_by_document(segment, queries, close, first)),
+                *found_in(segment, queries, room),
             ]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+        tidy()
 
     bounded_batches(stored.sparkSession)
     return stored.mapInArrow(run, KEYED)
 
 
-def search(stored: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """FOUND and h1, h2: what each document of a stored index has of the items. Of several blocks, each is searched, its rows with a hit are written, and it is released before the next."""
+def search(stored: DataFrame, items: DataFrame, width: int = WIDTH, slack: int | None = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """FOUND and h1, h2: what each document of a stored index has of the items. Of several blocks, each is searched, its rows with a hit are written, and it is released before the next. slack None: phrases only."""
     bare, parts = None, []
     for block, n in blocks(items, block_bytes):
         found = searched(stored, block, width, slack)
         if n == 1:
             return found.drop("segment", "place")
-        parts.append(written(found.where(F.size("near_items") > 0)))
+        parts.append(written(found.where((F.size("near_items") > 0) | (F.size("items") > 0))))
         if bare is None:
             bare = written(found.select("segment", "place", "h1", "h2", "doc_id", "n_words"))
         block.items.unpersist()
@@ -363,7 +380,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack:
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, with all their columns, in which no window occurs. Rows are told by two hashes of the text, as equal texts have equal verdicts; those to drop are broadcast if few, else joined by a shuffle."""
-    found = search(index(docs.select("doc_id", "text")), items, width, 0)
+    found = search(index(docs.select("doc_id", "text")), items, width, None)
     one, two = (f"_h{k}_{uuid.uuid4().hex}" for k in (1, 2))  # no column of docs has these names
     gone = written(found.where(F.size("spans") > 0).select(F.col("h1").alias(one), F.col("h2").alias(two)).distinct())
     return docs.join(fit_to_send(gone), (F.xxhash64("text") == F.col(one)) & (F.xxhash64(F.lit(1), "text") == F.col(two)), "left_anti")

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, pa_schema, written
 
-CHUNK = 1 << 13
+CHUNK = 1 << 15
 SPACE = "▁"
 State = tuple[int, int]
-MEMO = 500_000
+#: Pairs of pieces whose order a worker remembers.
+MEMO = 100_000
 
 
 class Pieces:
