@@ -17,19 +17,35 @@ def tokenised(docs: DataFrame, stop_words: list[str] | None = None, stem: bool =
     return docs.select("doc_id", (stems(found) if stem else found).alias("t"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's argument is never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def grouped(placed: Column) -> Column:
+    """array<struct<term, positions>> of an array<struct<term, pos>>: sorted, so that a term's places are neighbours, and cut where the term changes."""
+
+    def cut(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        own = lambda f, after: F.transform(F.slice(s, f + 1, F.coalesce(after, F.size(s)) - f), lambda x: x["pos"])
+        return let(firsts, lambda fs: F.transform(fs, lambda f, k: F.struct(F.get(s, f)["term"].alias("term"), own(f, F.get(fs, k + 1)).alias("positions"))))
+
+    return let(F.sort_array(placed), lambda s: F.when(F.size(s) > 0, cut(s)))
+
+
 def postings(docs: DataFrame, terms: list[str] | None = None, stop_words: list[str] | None = None, stem: bool = False, lengths: bool = False) -> DataFrame:
-    """(term, doc_id, tf, positions), with lengths also dl, the document's tokens: one row per term and document. With terms, other tokens are dropped inside the array, before rows are made.
+    """(term, doc_id, tf, positions), with lengths also dl, the document's tokens: one row per term and row of docs, whose ids are unique. With terms, other tokens are dropped inside the array.
 
-    A row is bounded by its document. Rows are grouped by (term, doc_id), so a frequent term is spread over all tasks.
+    A document's tokens are grouped inside its row, so there is no shuffle, and no row for an occurrence.
     """
     placed = F.transform(F.col("t"), lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
     if terms is not None:
         placed = F.filter(placed, lambda p: p["term"].isin(terms))
     if stop_words:
         placed = F.filter(placed, lambda p: ~p["term"].isin(stop_words))
-    own = (F.size("t").cast("bigint").alias("dl"),) if lengths else ()
-    rows = tokenised(docs, stem=stem).select("doc_id", *own, F.explode(placed).alias("p"))
-    return rows.groupBy(F.col("p.term").alias("term"), "doc_id", *(["dl"] if lengths else [])).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p.pos")).alias("positions"))
+    own = ("dl",) if lengths else ()
+    rows = tokenised(docs, stem=stem).select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode(grouped(placed)).alias("p"))
+    return rows.select("p.term", "doc_id", F.size("p.positions").cast("bigint").alias("tf"), *own, "p.positions")
 
 
 def lexicon(index: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """The stored index: built once, read by every query.
 
 A store is a folder of epochs. An epoch holds the versions (doc_id, digest) and the postings of the documents that it
-brought, range-partitioned and sorted by term, so that a query's terms are found by the footers' statistics and a
-frequent term lies in several files. Writing an epoch again replaces it. Of a document the last epoch counts: postings of
+brought. Postings lie in folders by a hash of the term, as many as the bytes of text call for, and in several files of a
+folder by a hash of the document, each sorted by term: a query reads the folders of its terms and there, by the footers'
+statistics, their row groups, and a frequent term is spread over the files. Building shuffles postings once. Versions
+are written last, so an epoch with versions is whole; writing an epoch again replaces it. Of a document the last epoch counts: postings of
 earlier ones are left out of every read. `refresh` makes the statistics of the documents that count: lexicon, lengths,
 norms of the vector space in every mode, corpus constants.
 
@@ -17,11 +19,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import epochs, exists, scratch
+from ..plans.storage import children, epochs, exists, remove, scratch
 from .index import postings
 from .rank import BM25_K, IDF_MODES, bm25_cell, idf_weight, norm_name
 
 POSTINGS = "term string, doc_id bigint, tf bigint, dl bigint, positions array<int>"
+#: Bytes of text whose postings share a folder, and a file.
+FOLDER_BYTES, FILE_BYTES, MOST_FOLDERS = 1 << 30, 64 << 20, 4096
 
 
 class Store(NamedTuple):
@@ -40,9 +44,15 @@ class Store(NamedTuple):
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """POSTINGS, of some terms or of all."""
-        rows = read_epochs(self, "postings", POSTINGS)
-        if terms is not None:
-            rows = rows.where(F.col("term").isin(terms))
+        every = []
+        for k in self.at:
+            at = f"{self.path}/postings/epoch={k}"
+            of = int(children(self.spark, at, "of=")[-1])
+            rows = self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{at}/of={of}")
+            if terms is not None:
+                rows = rows.where(F.col("bucket").isin([bucket(F.lit(t), of) for t in terms]) & F.col("term").isin(terms)) if terms else rows.where("false")
+            every.append(rows.drop("bucket").withColumn("epoch", F.lit(k).cast("bigint")))
+        rows = union(every)
         if len(self.at) > 1:
             rows = rows.join(self.versions().select("doc_id", "epoch"), ["doc_id", "epoch"], "left_semi")
         return rows.select("term", "doc_id", "tf", "dl", "positions")
@@ -66,12 +76,21 @@ class Store(NamedTuple):
 
 def read_epochs(store: Store, name: str, schema: str) -> DataFrame:
     every = [store.spark.read.schema(schema).parquet(f"{store.path}/{name}/epoch={k}").withColumn("epoch", F.lit(k).cast("bigint")) for k in store.at]
-    out = every[0]
-    for part in every[1:]:
+    return union(every)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def bucket(term: Column, of: int) -> Column:
+    """The folder of a term."""
+    return F.pmod(F.xxhash64(term), F.lit(of)).cast("int")
+
+
 def digest(docs: DataFrame) -> Column:
     """What tells one version of a document from another: all its columns but the id."""
     return F.sha2(F.to_json(F.struct(*(c for c in sorted(docs.columns) if c != "doc_id")), {"ignoreNullFields": "false"}).cast("binary"), 256)
@@ -79,15 +98,24 @@ def digest(docs: DataFrame) -> Column:
 
 def write_epoch(docs: DataFrame, path: str, epoch: int) -> None:
     """Versions and postings of docs (doc_id, text; optional headline and more), in place of what the epoch held."""
-    rows = docs.select("*", digest(docs).alias("digest")).dropDuplicates(["doc_id"])
+    spark = docs.sparkSession
+    rows = docs.select("*", digest(docs).alias("digest"))
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # reads ids only; texts are shuffled where ids repeat
+        rows = rows.dropDuplicates(["doc_id"])
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    of = min(MOST_FOLDERS, 1 << max(0, (size // FOLDER_BYTES).bit_length()))
+    files = max(spark.sparkContext.defaultParallelism, size // of // FILE_BYTES + 1)
+    remove(spark, f"{path}/versions/epoch={epoch}")
+    remove(spark, f"{path}/postings/epoch={epoch}")
+    found = postings(rows, lengths=True).select("term", "doc_id", "tf", "dl", "positions", bucket(F.col("term"), of).alias("bucket"))
+    dealt = found.repartition(of * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "term", "doc_id")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/epoch={epoch}/of={of}")
     rows.select("doc_id", "digest").write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
-    found = postings(rows, lengths=True).select("term", "doc_id", "tf", "dl", "positions")
-    found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/epoch={epoch}")
 
 
 def refresh(spark: SparkSession, path: str) -> Store:
     """Makes the statistics of the documents that count and opens the store."""
-    at = tuple(k for k in epochs(spark, f"{path}/versions") if k in epochs(spark, f"{path}/postings"))
+    at = tuple(epochs(spark, f"{path}/versions"))
     store = Store(spark, path, at)
     rows = store.postings().select("term", "doc_id", "tf", "dl")
     save = lambda df, name: df.write.mode("overwrite").parquet(f"{store.stats}/{name}")

@@ -64,11 +64,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows a prefix in the names of a folder's entries."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [x.getPath().getName() for x in found.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(found)]
+    return sorted(x.removeprefix(prefix) for x in names if x.startswith(prefix))
+
+
 def epochs(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete epoch=N folders of a path, ascending; of none there is no folder."""
     if not exists(spark, path):
         return []
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = found.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in files.listStatus(found)]
-    return sorted(int(x.removeprefix("epoch=")) for x in names if x.startswith("epoch=") and exists(spark, f"{path}/{x}/_SUCCESS"))
+    return sorted(int(x) for x in children(spark, path, "epoch=") if exists(spark, f"{path}/epoch={x}/_SUCCESS"))
