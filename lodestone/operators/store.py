@@ -107,9 +107,10 @@ def write_epoch(docs: DataFrame, path: str, epoch: int) -> None:
     files = max(spark.sparkContext.defaultParallelism, size // of // FILE_BYTES + 1)
     remove(spark, f"{path}/versions/epoch={epoch}")
     remove(spark, f"{path}/postings/epoch={epoch}")
-    found = postings(rows, lengths=True).select("term", "doc_id", "tf", "dl", "positions", bucket(F.col("term"), of).alias("bucket"))
-    dealt = found.repartition(of * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "term", "doc_id")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/epoch={epoch}/of={of}")
+    found = postings(rows, lengths=True).select("term", "doc_id", F.col("dl").cast("int").alias("dl"), "positions")  # what follows from these isn't shuffled
+    dealt = found.repartition(of * files, bucket(F.col("term"), of), F.pmod(F.xxhash64("doc_id"), F.lit(files)))
+    whole = dealt.select("term", "doc_id", F.size("positions").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"), "positions", bucket(F.col("term"), of).alias("bucket"))
+    whole.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/epoch={epoch}/of={of}")
     rows.select("doc_id", "digest").write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
 
 
