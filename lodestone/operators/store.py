@@ -26,6 +26,8 @@ from .rank import BM25_K, IDF_MODES, bm25_cell, idf_weight, norm_name
 POSTINGS = "term string, doc_id bigint, tf bigint, dl bigint, positions array<int>"
 #: Bytes of text whose postings share a folder, and a file.
 FOLDER_BYTES, FILE_BYTES, MOST_FOLDERS = 1 << 30, 64 << 20, 4096
+#: Bytes of the lexicon, its most frequent terms, that are broadcast at most.
+SENT_BYTES = 16 << 20
 
 
 class Store(NamedTuple):
@@ -114,6 +116,24 @@ def write_epoch(docs: DataFrame, path: str, epoch: int) -> None:
     rows.select("doc_id", "digest").write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
 
 
+def with_df(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """rows (term, doc_id, tf, dl) with df.
+
+    Most postings are of frequent terms. As many of these as SENT_BYTES hold are broadcast, so their postings stay where
+    they are; postings of the rest, of which no term is hot, are shuffled by term and, before they are summed, by document.
+    """
+    size = F.octet_length("term") + 16
+    steps = [1 << s for s in range(48)]
+    held = lexicon.agg(*(F.sum(F.when(F.col("df") >= s, size)).alias(f"s{s}") for s in steps)).first()
+    least = next((s for s in steps if (held[f"s{s}"] or 0) <= SENT_BYTES), steps[-1])
+    frequent = F.broadcast(lexicon.where(F.col("df") >= least))
+    known = rows.join(frequent, "term").drop("term")
+    if least == 1:
+        return known
+    rare = rows.join(frequent, "term", "left_anti").join(lexicon.where(F.col("df") < least), "term").drop("term")
+    return known.unionByName(rare.repartition("doc_id"))
+
+
 def refresh(spark: SparkSession, path: str) -> Store:
     """Makes the statistics of the documents that count and opens the store."""
     at = tuple(epochs(spark, f"{path}/versions"))
@@ -123,7 +143,7 @@ def refresh(spark: SparkSession, path: str) -> Store:
     save(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
     lengths = store.versions().select("doc_id").join(rows.groupBy("doc_id").agg(F.first("dl").alias("dl")), "doc_id", "left").select(F.coalesce("dl", F.lit(0)).alias("dl"))
     save(lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("lbar")), "corpus_stats")
-    full = rows.join(store.lexicon().select("term", "df"), "term").crossJoin(F.broadcast(store.corpus_stats()))
+    full = with_df(rows, store.lexicon().select("term", "df")).crossJoin(F.broadcast(store.corpus_stats()))
     square = lambda x: F.sum(x * x)
     idf = {m: idf_weight(m, F.col("df"), F.col("n")) for m in IDF_MODES}
     log_tf = 1 + F.log10("tf")

@@ -273,3 +273,13 @@ def test_trie_holds_every_word(spark):
     found = queries.QUERIES["trie_all_words"](spark, SF).select("word", "index_id", "word_frequency").collect()
     assert sorted(map(tuple, found)) == sorted(want)
     assert sum(r.word_frequency for r in found) == queries.QUERIES["doc_stats"](spark, SF).agg(F.sum("dl")).first()[0]
+
+
+@pytest.mark.parametrize("most", [0, 90])
+def test_norms_without_room_for_a_broadcast(spark, tmp_path, monkeypatch, most):
+    rows = [(k, "the house " * k + f"word{k} word{k % 3} the") for k in range(1, 9)] + [(9, None)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rounded = lambda s: sorted(tuple(round(x, 9) for x in r) for r in s.doc_stats().collect())
+    want = rounded(store.build(made, f"{tmp_path}/whole"))
+    monkeypatch.setattr(store, "SENT_BYTES", most)
+    assert rounded(store.build(made, f"{tmp_path}/split")) == want
