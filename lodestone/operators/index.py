@@ -22,19 +22,47 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def changes(s: Column, field: str) -> Column:
+    """Where, in an array of structs that isn't empty, a run of equal fields begins."""
+    return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)[field] != F.get(s, i - 1)[field]))
+
+
+def run(s: Column, firsts: Column, first: Column, k: Column) -> Column:
+    """The part of s from the k-th of its runs' beginnings to the next."""
+    return F.slice(s, first + 1, F.coalesce(F.get(firsts, k + 1), F.size(s)) - first)
+
+
+def runs(s: Column, field: str, made) -> Column:
+    """made(run) of every run of equal fields; null if s is empty."""
+    return F.when(F.size(s) > 0, let(changes(s, field), lambda fs: F.transform(fs, lambda f, k: made(run(s, fs, f, k)))))
+
+
 def grouped(placed: Column) -> Column:
     """array<struct<term, positions>> of an array<struct<term, pos>>: sorted, so that a term's places are neighbours, and cut where the term changes."""
+    return let(F.sort_array(placed), lambda s: runs(s, "term", lambda own: F.struct(F.get(own, F.lit(0))["term"].alias("term"), F.transform(own, lambda x: x["pos"]).alias("positions"))))
+
+
+def packed(docs: DataFrame, folder) -> DataFrame:
+    """(doc_id, dl, bucket, terms, starts, places): a document's postings of a folder in one row, to be shuffled.
+
+    terms are joined by a space, which no token holds; the k-th has the places from starts[k] on, up to the next start.
+    """
+    placed = F.transform(F.col("t"), lambda x, i: F.struct(folder(x).alias("bucket"), x.alias("term"), i.alias("pos")))
+    parts = let(F.sort_array(placed), lambda s: runs(s, "bucket", lambda own: own))
+    rows = tokenised(docs).select("doc_id", F.size("t").alias("dl"), F.explode(parts).alias("s")).select("doc_id", "dl", "s", changes(F.col("s"), "term").alias("starts"))
+    terms = F.array_join(F.transform("starts", lambda f: F.get("s", f)["term"]), " ")
+    return rows.select("doc_id", "dl", F.get("s", F.lit(0))["bucket"].alias("bucket"), terms.alias("terms"), "starts", F.transform("s", lambda x: x["pos"]).alias("places"))
 
-    def cut(s: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-        own = lambda f, after: F.transform(F.slice(s, f + 1, F.coalesce(after, F.size(s)) - f), lambda x: x["pos"])
-        return let(firsts, lambda fs: F.transform(fs, lambda f, k: F.struct(F.get(s, f)["term"].alias("term"), own(f, F.get(fs, k + 1)).alias("positions"))))
 
-    return let(F.sort_array(placed), lambda s: F.when(F.size(s) > 0, cut(s)))
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(bucket, term, doc_id, tf, dl, positions) of packed rows."""
+    posting = lambda ts, f, k: F.struct(F.get(ts, k).alias("term"), run(F.col("places"), F.col("starts"), f, k).alias("positions"))
+    every = rows.select("bucket", "doc_id", "dl", F.explode(let(F.split("terms", " "), lambda ts: F.transform("starts", lambda f, k: posting(ts, f, k)))).alias("p"))
+    return every.select("bucket", "p.term", "doc_id", F.size("p.positions").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"), "p.positions")
 
 
-def postings(docs: DataFrame, terms: list[str] | None = None, stop_words: list[str] | None = None, stem: bool = False, lengths: bool = False) -> DataFrame:
-    """(term, doc_id, tf, positions), with lengths also dl, the document's tokens: one row per term and row of docs, whose ids are unique. With terms, other tokens are dropped inside the array.
+def postings(docs: DataFrame, terms: list[str] | None = None, stop_words: list[str] | None = None, stem: bool = False) -> DataFrame:
+    """(term, doc_id, tf, positions): one row per term and row of docs, whose ids are unique. With terms, other tokens are dropped inside the array.
 
     A document's tokens are grouped inside its row, so there is no shuffle, and no row for an occurrence.
     """
@@ -43,9 +71,8 @@ def postings(docs: DataFrame, terms: list[str] | None = None, stop_words: list[s
         placed = F.filter(placed, lambda p: p["term"].isin(terms))
     if stop_words:
         placed = F.filter(placed, lambda p: ~p["term"].isin(stop_words))
-    own = ("dl",) if lengths else ()
-    rows = tokenised(docs, stem=stem).select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode(grouped(placed)).alias("p"))
-    return rows.select("p.term", "doc_id", F.size("p.positions").cast("bigint").alias("tf"), *own, "p.positions")
+    rows = tokenised(docs, stem=stem).select("doc_id", F.explode(grouped(placed)).alias("p"))
+    return rows.select("p.term", "doc_id", F.size("p.positions").cast("bigint").alias("tf"), "p.positions")
 
 
 def lexicon(index: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A store is a folder of epochs. An epoch holds the versions (doc_id, digest) and the postings of the documents that it
 brought. Postings lie in folders by a hash of the term, as many as the bytes of text call for, and in several files of a
 folder by a hash of the document, each sorted by term: a query reads the folders of its terms and there, by the footers'
-statistics, their row groups, and a frequent term is spread over the files. Building shuffles postings once. Versions
+statistics, their row groups, and a frequent term is spread over the files. Building shuffles postings once, packed to one row
+of a document and folder. Versions
 are written last, so an epoch with versions is whole; writing an epoch again replaces it. Of a document the last epoch counts: postings of
 earlier ones are left out of every read. `refresh` makes the statistics of the documents that count: lexicon, lengths,
 norms of the vector space in every mode, corpus constants.
@@ -20,12 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import children, epochs, exists, remove, scratch
-from .index import postings
+from .index import packed, unpacked
 from .rank import BM25_K, IDF_MODES, bm25_cell, idf_weight, norm_name
 
 POSTINGS = "term string, doc_id bigint, tf bigint, dl bigint, positions array<int>"
-#: Bytes of text whose postings share a folder, and a file.
-FOLDER_BYTES, FILE_BYTES, MOST_FOLDERS = 1 << 30, 64 << 20, 4096
+#: Bytes of text whose postings share a folder, and a file: what a task sorts without spilling in 400 MB.
+FOLDER_BYTES, FILE_BYTES, MOST_FOLDERS = 1 << 30, 16 << 20, 4096
 #: Bytes of the lexicon, its most frequent terms, that are broadcast at most.
 SENT_BYTES = 16 << 20
 
@@ -109,10 +110,8 @@ def write_epoch(docs: DataFrame, path: str, epoch: int) -> None:
     files = max(spark.sparkContext.defaultParallelism, size // of // FILE_BYTES + 1)
     remove(spark, f"{path}/versions/epoch={epoch}")
     remove(spark, f"{path}/postings/epoch={epoch}")
-    found = postings(rows, lengths=True).select("term", "doc_id", F.col("dl").cast("int").alias("dl"), "positions")  # what follows from these isn't shuffled
-    dealt = found.repartition(of * files, bucket(F.col("term"), of), F.pmod(F.xxhash64("doc_id"), F.lit(files)))
-    whole = dealt.select("term", "doc_id", F.size("positions").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"), "positions", bucket(F.col("term"), of).alias("bucket"))
-    whole.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/epoch={epoch}/of={of}")
+    dealt = packed(rows, lambda term: bucket(term, of)).repartition(of * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files)))
+    unpacked(dealt).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/epoch={epoch}/of={of}")
     rows.select("doc_id", "digest").write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
 
 
@@ -141,8 +140,9 @@ def refresh(spark: SparkSession, path: str) -> Store:
     rows = store.postings().select("term", "doc_id", "tf", "dl")
     save = lambda df, name: df.write.mode("overwrite").parquet(f"{store.stats}/{name}")
     save(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
-    lengths = store.versions().select("doc_id").join(rows.groupBy("doc_id").agg(F.first("dl").alias("dl")), "doc_id", "left").select(F.coalesce("dl", F.lit(0)).alias("dl"))
-    save(lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("lbar")), "corpus_stats")
+    n = store.versions().agg(F.count("*").cast("double").alias("n"))
+    total = store.lexicon().agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))  # every token is in one posting, so no lengths are read
+    save(n.crossJoin(total).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("lbar")), "corpus_stats")
     full = with_df(rows, store.lexicon().select("term", "df")).crossJoin(F.broadcast(store.corpus_stats()))
     square = lambda x: F.sum(x * x)
     idf = {m: idf_weight(m, F.col("df"), F.col("n")) for m in IDF_MODES}
