@@ -283,3 +283,15 @@ def test_norms_without_room_for_a_broadcast(spark, tmp_path, monkeypatch, most):
     want = rounded(store.build(made, f"{tmp_path}/whole"))
     monkeypatch.setattr(store, "SENT_BYTES", most)
     assert rounded(store.build(made, f"{tmp_path}/split")) == want
+
+
+def test_packed_postings_of_many_folders(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, ""), (3, None), (4, " ".join(f"w{i % 37}" for i in range(500))), (5, "b, b é")], "doc_id long, text string")
+    rows = index.unpacked(index.packed(docs, lambda term: store.bucket(term, 8))).collect()
+    plain = {(r.term, r.doc_id): r for r in index.postings(docs).collect()}
+    assert len(rows) == len(plain) and {r.doc_id for r in rows} == {1, 4, 5}
+    lengths = {1: 4, 4: 500, 5: 3}
+    for r in rows:
+        same = plain[r.term, r.doc_id]
+        assert (r.tf, r.positions, r.dl) == (same.tf, same.positions, lengths[r.doc_id])
+    assert {(r.term, r.bucket) for r in rows} == {(r.term, r.b) for r in docs.sparkSession.createDataFrame([(t,) for t in {t for t, _ in plain}], "term string").withColumn("b", store.bucket(F.col("term"), 8)).collect()}
