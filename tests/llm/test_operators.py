@@ -199,6 +199,28 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, k, num, limits):
     assert kept == sorted((r for i, r in enumerate(rows) if not sets[i] or r[0] == least[label[i]]), key=repr)
 
 
+def test_ngram_join_holds_no_tables_and_works_in_rounds(spark, monkeypatch):
+    """Copies with changes make many pairs. By rounds the result is the same, and what is left on disk is the labels."""
+    from pathlib import Path
+
+    from lodestone.llm import common
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.02 * (i % 4) else "x" for w in base[i % 12]) for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 2000)
+    tables = lambda: {x for x in Path(common.scratch(spark).removeprefix("file:")).parent.iterdir() if x.is_dir()}
+    want = sorted(map(tuple, ngram_join.jaccard_components(docs, 3, 90, 100).collect()))
+    monkeypatch.setattr(ngram_join, "ROUND", 6)
+    before, cleanup = tables(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs, 3, 90, 100).collect())) == want
+    left = [t for t in tables() - before if any(x.suffix == ".parquet" for x in t.iterdir())]
+    assert 0 < len(left) < 10 and not {"tokens", "marks"} & {c for t in left for c in spark.read.parquet(str(t)).columns}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == cleanup
+
+
 def test_one_row_of_each_group_stays(spark):
     """Null ids, an id with two texts, and rows that are there twice."""
     copy = "one two three four five six seven"
