@@ -238,6 +238,29 @@ def test_classifiers_edges():
     assert grammar.evidence("some loweixen here")[0] > 0
 
 
+def test_quality_fits_on_every_pair_of_every_row(spark):
+    import numpy as np
+
+    rows = spark.range(21_000).selectExpr("id AS doc_id", "crc32(cast(cast(id AS string) AS binary)) AS h").selectExpr("doc_id", "concat(repeat('Some word, ', int(h % 7) + 1), repeat('|# ', int(h % 5)), doc_id, if(h % 3 = 0, '.', ' x')) AS text", "int(h % 11 + h % 7 > 6) AS quality")
+    docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "quality")
+    found = quality_classifier.train(docs, labels, F.col("doc_id") >= 0)
+    held = rows.collect()
+    x, y = np.array([quality_classifier.features(r.text) for r in held]), np.array([r.quality for r in held])
+    want = quality_classifier.fit(x, y)
+    assert (found.weights == want.weights).all() and found.threshold == want.threshold and found.slope == want.slope
+
+    x, y = x[:400], y[:400]
+    found = quality_classifier.fit(x, y)
+    z = (x - found.mean) / found.scale
+    pairs, w = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1]), np.zeros(z.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-pairs @ w))
+        w -= np.linalg.solve((pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + 1e-3 * np.eye(len(w)), pairs.T @ (p - 1) / len(pairs) + 1e-3 * w)
+    assert np.abs(found.weights - w).max() < 1e-3
+    s = np.sort(found.strength(x))
+    assert abs(found.threshold - s[(y == 0).sum() - 1 : (y == 0).sum() + 1].mean()) < 1e-9
+
+
 @pytest.mark.parametrize("form", ["you 'idiot'", "you idiots'", "you idiot\u2022", "you idiot\uff0e", "you \U0001f600idiot\U0001f600", "you _idiot_", "you 'loweixen'", "you loweixen\u2026 \u2022loweixen\u2022"])
 def test_toxicity_reads_words_beside_any_mark(form):
     assert toxicity.Grammar({"lowei*": 1.0}).evidence(form)[1] > 0
