@@ -116,3 +116,14 @@ def test_language_stage_drops_unlearnt_languages(spark):
     planted = spark.createDataFrame([(-k, t, None) for k, t in enumerate(strange, 1)], "doc_id bigint, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(planted), "").select("doc_id").collect()}
     assert kept == {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect()}
+
+
+def test_batches_are_small_and_heaps_are_handed_back(spark):
+    from lodestone.llm import common
+
+    common.bounded_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = beans()
+    common.shrink_heaps(spark)
+    assert beans() > before
