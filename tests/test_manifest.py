@@ -16,6 +16,6 @@ def against_sql(spark, tmp_path, name):
     assert Counter(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == Counter(con.sql(queries.ORACLE_SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["manifest_diff"])
+@pytest.mark.parametrize("name", ["manifest_diff", "manifest_queue"])
 def test_pages_that_share_an_url(spark, tmp_path, name):
     against_sql(spark, tmp_path, name)
