@@ -22,9 +22,15 @@ def delimiters(keep: str = "") -> str:
     return f"[{SPACES}{''.join(chr(92) + c if c in '-[]^&' else c for c in PUNCTUATION if c not in keep)}]"
 
 
+def java_delimiters(keep: str = "") -> str:
+    """The same class for Java, which tests characters under 256 that are listed one by one by one look-up; what is beyond is looked at in one range only."""
+    low = "".join(rf"\x{ord(c):02x}" for c in f"\t\n\x0b\f\r \x85\xa0{PUNCTUATION}" if c not in keep)
+    return rf"[{low}[\x{{1680}}-\x{{3000}}&&[\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]]]"
+
+
 def tokens(text: Column, keep: str = "", stop_words: list[str] | None = None) -> Column:
     """Lower-cased tokens in order; a lone backslash is none. Null: no tokens."""
-    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), delimiters(keep), -1), F.lower), lambda x: (x != "") & (x != "\\"))
+    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), java_delimiters(keep), -1), F.lower), lambda x: (x != "") & (x != "\\"))
     return found if stop_words is None else without(found, stop_words)
 
 

@@ -96,8 +96,6 @@ def cosine(store, vector: DataFrame, mode: str = "tfidf", tf_mode: str = "l", id
 
 def scored(store, found: DataFrame, vector: DataFrame, mode: str, tf_mode: str, idf_mode: str) -> DataFrame:
     """The cosines, from the postings found with qw, df, n, lbar."""
-    if mode != "bm25" and tf_mode == "a":
-        found = found.join(store.doc_stats().select("doc_id", "max_tf"), "doc_id")
     dots = weighted(found, mode, tf_mode, idf_mode).groupBy("doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     size = F.col("norm") * F.col("qn")
     qn = vector.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
@@ -142,6 +140,4 @@ def top_terms(vectors: DataFrame, t: int = 5, by: str | None = None) -> DataFram
 def vectors(store, mode: str = "tfidf", tf_mode: str = "l", idf_mode: str = "t") -> DataFrame:
     """(doc_id, term, weight): the whole score matrix. Only for what needs every cell; ranking doesn't."""
     full = store.postings().drop("positions").join(store.lexicon().select("term", "df"), "term").crossJoin(F.broadcast(store.corpus_stats()))
-    if mode != "bm25" and tf_mode == "a":
-        full = full.join(store.doc_stats().select("doc_id", "max_tf"), "doc_id")
     return weighted(full, mode, tf_mode, idf_mode).select("doc_id", "term", F.col("w").alias("weight"))

@@ -4,8 +4,7 @@ A store is a folder of epochs. An epoch holds the versions (doc_id, digest) and
 brought. Postings lie in folders by a hash of the term, as many as the bytes of text call for, and in several files of a
 folder by a hash of the document, each sorted by term: a query reads the folders of its terms and there, by the footers'
 statistics, their row groups, and a frequent term is spread over the files. Building shuffles postings once, packed to one row
-of a document and folder. Versions
-are written last, so an epoch with versions is whole; writing an epoch again replaces it. Of a document the last epoch counts: postings of
+of many documents and a file (packing.py). A posting has its document's length and largest tf. Versions are written last, so an epoch with versions is whole; writing an epoch again replaces it. Of a document the last epoch counts: postings of
 earlier ones are left out of every read. `refresh` makes the statistics of the documents that count: lexicon, lengths,
 norms of the vector space in every mode, corpus constants.
 
@@ -20,11 +19,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import children, epochs, exists, remove, scratch
-from .index import packed, unpacked
+from ..plans.storage import children, epochs, exists, remove, scratch, shuffles_removed, unsorted_folders
+from .packing import packed, unpacked
 from .rank import BM25_K, IDF_MODES, bm25_cell, idf_weight, norm_name
 
-POSTINGS = "term string, doc_id bigint, tf bigint, dl bigint, positions array<int>"
+POSTINGS = "term string, doc_id bigint, tf bigint, dl bigint, max_tf bigint, positions array<int>"
 #: Bytes of text whose postings share a folder, and a file: what a task sorts without spilling in 400 MB.
 FOLDER_BYTES, FILE_BYTES, MOST_FOLDERS = 1 << 30, 16 << 20, 4096
 #: Bytes of the lexicon, its most frequent terms, that are broadcast at most.
@@ -58,7 +57,7 @@ class Store(NamedTuple):
         rows = union(every)
         if len(self.at) > 1:
             rows = rows.join(self.versions().select("doc_id", "epoch"), ["doc_id", "epoch"], "left_semi")
-        return rows.select("term", "doc_id", "tf", "dl", "positions")
+        return rows.select("term", "doc_id", "tf", "dl", "max_tf", "positions")
 
     def lexicon(self, terms: list[str] | None = None) -> DataFrame:
         """(term, df, cf), sorted by term in its files."""
@@ -110,13 +109,14 @@ def write_epoch(docs: DataFrame, path: str, epoch: int) -> None:
     files = max(spark.sparkContext.defaultParallelism, size // of // FILE_BYTES + 1)
     remove(spark, f"{path}/versions/epoch={epoch}")
     remove(spark, f"{path}/postings/epoch={epoch}")
-    dealt = packed(rows, lambda term: bucket(term, of)).repartition(of * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files)))
-    unpacked(dealt).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/epoch={epoch}/of={of}")
+    dealt = packed(rows, of, files).repartitionById(of * files, F.col("part"))
+    with shuffles_removed(spark), unsorted_folders(spark):
+        unpacked(dealt, files).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/epoch={epoch}/of={of}")
     rows.select("doc_id", "digest").write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
 
 
-def with_df(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """rows (term, doc_id, tf, dl) with df.
+def with_df(rows: DataFrame, lexicon: DataFrame, named: bool = False) -> DataFrame:
+    """rows (term, doc_id, tf, dl) with df. named: and with their terms, the rare ones where the shuffle by term left them.
 
     Most postings are of frequent terms. As many of these as SENT_BYTES hold are broadcast, so their postings stay where
     they are; postings of the rest, of which no term is hot, are shuffled by term and, before they are summed, by document.
@@ -126,11 +126,11 @@ def with_df(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     held = lexicon.agg(*(F.sum(F.when(F.col("df") >= s, size)).alias(f"s{s}") for s in steps)).first()
     least = next((s for s in steps if (held[f"s{s}"] or 0) <= SENT_BYTES), steps[-1])
     frequent = F.broadcast(lexicon.where(F.col("df") >= least))
-    known = rows.join(frequent, "term").drop("term")
-    if least == 1:
-        return known
-    rare = rows.join(frequent, "term", "left_anti").join(lexicon.where(F.col("df") < least), "term").drop("term")
-    return known.unionByName(rare.repartition("doc_id"))
+    known = rows.join(frequent, "term")
+    if least > 1:
+        rare = rows.join(frequent, "term", "left_anti").join(lexicon.where(F.col("df") < least), "term")
+        known = known.unionByName(rare if named else rare.repartition("doc_id"))
+    return known if named else known.drop("term")
 
 
 def refresh(spark: SparkSession, path: str) -> Store:
