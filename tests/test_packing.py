@@ -45,3 +45,10 @@ def test_java_has_the_same_delimiters(spark):
         cut = lambda p: F.split("text", p, -1)
         assert docs.where(cut(text.delimiters(keep)) != cut(text.java_delimiters(keep))).count() == 0
     assert docs.where(F.size(F.split("text", text.java_delimiters(), -1)) == 2).count() == len(text.PUNCTUATION) + 25
+
+
+def test_tf_modes_join_nothing(spark):
+    from lodestone import queries
+
+    plan = queries.QUERIES["tf_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
