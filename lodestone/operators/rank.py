@@ -139,5 +139,7 @@ def top_terms(vectors: DataFrame, t: int = 5, by: str | None = None) -> DataFram
 
 def vectors(store, mode: str = "tfidf", tf_mode: str = "l", idf_mode: str = "t") -> DataFrame:
     """(doc_id, term, weight): the whole score matrix. Only for what needs every cell; ranking doesn't."""
-    full = store.postings().drop("positions").join(store.lexicon().select("term", "df"), "term").crossJoin(F.broadcast(store.corpus_stats()))
+    from .store import with_df  # which imports this module
+
+    full = with_df(store.postings().drop("positions"), store.lexicon().select("term", "df"), named=True).crossJoin(F.broadcast(store.corpus_stats()))
     return weighted(full, mode, tf_mode, idf_mode).select("doc_id", "term", F.col("w").alias("weight"))
