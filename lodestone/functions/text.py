@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..plans.storage import tidy
+
 #: White space beyond ASCII that separates tokens, and the ASCII punctuation that does (a backslash does not). Fixed values.
 SPACES = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
@@ -140,10 +142,17 @@ def pieces(path: str):
 def stems(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Porter stems of an array of tokens."""
     stem, memo = Porter(), {}
+
+    def stemmed(w: str) -> str:
+        if w not in memo:
+            if len(memo) >= 200_000:
+                memo.clear()
+            memo[w] = stem(w)
+        return memo[w]
+
     for part in found:
-        if len(memo) > 200_000:
-            memo.clear()
-        yield part.map(lambda ws: None if ws is None else [memo.get(w) or memo.setdefault(w, stem(w)) for w in ws])
+        yield part.map(lambda ws: None if ws is None else [stemmed(w) for w in ws])
+    tidy()
 
 
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stems, tokens, without
+from ..plans.storage import bounded_batches
 
 
 def tokenised(docs: DataFrame, stop_words: list[str] | None = None, stem: bool = False, keep: str = "") -> DataFrame:
@@ -14,6 +15,8 @@ def tokenised(docs: DataFrame, stop_words: list[str] | None = None, stem: bool =
     found = tokens(whole, keep)
     if stop_words is not None:
         found = without(found, stop_words)
+    if stem:
+        bounded_batches(docs.sparkSession)
     return docs.select("doc_id", (stems(found) if stem else found).alias("t"))
 
 

@@ -52,3 +52,17 @@ def test_tf_modes_join_nothing(spark):
 
     plan = queries.QUERIES["tf_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_trie_len_and_vectors_shuffle_no_postings(spark):
+    from lodestone import queries
+
+    plan = lambda q: queries.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "postings" not in plan("trie_len") and "positions" not in plan("trie_len")
+    assert "strategy=broadcast" in plan("vector_top_terms")
+
+
+def test_stems_come_in_bounded_batches(spark):
+    docs = spark.createDataFrame([(1, "relational ponies"), (2, None)], "doc_id bigint, text string")
+    assert [r.t for r in index.tokenised(docs, stem=True).orderBy("doc_id").collect()] == [["relat", "poni"], []]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 4000
